@@ -18,7 +18,7 @@ import numpy as np
 
 MAGIC = b"RPB1"
 HEAD = struct.Struct("<4sIIIIIQ")
-BINS = 1 << 20
+BINS = 1 << 18
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4, min_count: int = 8):
@@ -34,7 +34,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4,
         if len(seq) < 2 or known >= room:
             break
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
         free = ~last[:-1]
         count = np.bincount(hashed[free], minlength=BINS)
         quota = -(-(room - known) // left)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import filterfalse
 from unicodedata import normalize
 
 import numpy as np
@@ -28,7 +27,7 @@ from . import repair
 from .common import fresh_path, keep, open_store, table, write_whole
 
 END_ID = 2
-CACHE = 600_000
+CACHE = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 _odd = re.compile("[\x1c-\x1f]")
 
@@ -41,6 +40,9 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -55,36 +57,60 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def _split(chunk: str) -> tuple[str, str]:
-        """Letters and the marks behind them: always pre-tokens of their own. ASCII letters count in lower case."""
+    def _split(chunk: str) -> tuple[str, str, bool]:
+        """Letters and the marks behind them, which are always pre-tokens of their own; ASCII letters in lower case."""
         core = chunk.rstrip(".,;:!?")
         if core.isascii() and core.isalpha():
-            return core.lower(), chunk[len(core) :]
+            return core.lower(), chunk[len(core) :], True
         if core.isalpha() and normalize("NFC", core).lower().isalpha():
-            return core, chunk[len(core) :]
-        return chunk, ""
+            return core, chunk[len(core) :], True
+        return chunk, "", False
+
+    def _letters(self, cores: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one text: each is one pre-token, and its last piece alone bears the end mark."""
+        out = []
+        for i in range(0, len(cores), 512):
+            part = cores[i : i + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                out += self._direct(part)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *stops], stops)]
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
         known = self.known
         split = {c: self._split(c) for c in chunks}
-        parts = list({p for pair in split.values() for p in pair if p and p not in known})
-        known.update(zip(parts, self._direct(parts)))
-        for chunk, (core, tail) in split.items():
+        cores = list({core for core, _, letters in split.values() if letters and core not in known})
+        known.update(zip(cores, self._letters(cores)))
+        others = list({p for core, tail, letters in split.values() for p in ((tail,) if letters else (core,)) if p and p not in known})
+        known.update(zip(others, self._direct(others)))
+        for chunk, (core, tail, _) in split.items():
             known[chunk] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 48):
-            chunks = [None if t and _odd.search(t) else (t or "").split() for t in texts[i : i + 48]]
+        for i in range(0, len(texts), 64):
             if len(self.known) > CACHE:
                 self.known.clear()
-            missing: set[str] = set()
-            for c in filter(None, chunks):
-                missing.update(filterfalse(self.known.__contains__, c))
+            get, missing, found = self.known.get, set(), []
+            for text in texts[i : i + 64]:
+                if text and _odd.search(text):
+                    found.append((None, self._direct([text]), ()))
+                    continue
+                chunks = (text or "").split()
+                parts = list(map(get, chunks))
+                gaps = [k for k, part in enumerate(parts) if part is None] if None in parts else ()
+                missing.update([chunks[k] for k in gaps])
+                found.append((chunks, parts, gaps))
             if missing:
                 self._learn(missing)
-            get = self.known.__getitem__
-            out += [self._direct([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts[i : i + 48], chunks)]
+            for chunks, parts, gaps in found:
+                for k in gaps:
+                    parts[k] = self.known[chunks[k]]
+                out.append(b"".join(parts))
         return out
 
 
@@ -127,7 +153,7 @@ def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int):
 _rows = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("file", pa.string()), ("base", pa.int64()), ("n_ids", pa.int64())])
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 21, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 21, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Writes the blocks; returns their folder and the written table of blocks (shard, block, file, base in the shard, n_ids)."""
     folder = fresh_path(docs.sparkSession, "token-blocks")
     store, root = open_store(folder)
