@@ -1,2 +1,322 @@
+"""Queries over the driver's tables, one or more for each operator, with SQL that computes the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.tokens import BASE, SPECIAL, pair_key_column
+from ..operators import packing
+from ..operators.codec import decode_join, decoder, encode_native, encoder, evidence
+from ..operators.presegment import lines, lossless, segments, special_spans, statistics
+from ..operators.stats import family_weight, opportunity, pair_counts, symbol_words, top_pairs, word_counts
+from ..operators.tokenizer import Tokenizer, merge_faults
+from ..operators.train import Merge, train_rounds, train_words
+from ..operators.written import remove, written
+from ..sources.manifest import FAMILIES, coverage, difference, scan
+
+LANG_WEIGHTS = {"en": 5000, "de": 3000, "fr": 4000, "es": 4000}
+N_MERGES = 10
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("text",)))
+
+
+ALIAS = SPECIAL.alternation()
+SQL_LINES = r"""
+raws AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT *, regexp_replace(raw, '\r\z', '') AS line FROM raws),
+kept AS (SELECT * FROM lines WHERE line <> '' AND NOT regexp_full_match(line, '(?:@ALIAS@)+')),
+segs AS (SELECT doc_id, lang, source, line_no, unnest(l) AS segment, generate_subscripts(l, 1) - 1 AS seg_no
+  FROM (SELECT *, regexp_extract_all(line, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+') AS l FROM kept))""".replace("@ALIAS@", ALIAS)
+SQL_SYM = "array_to_string(list_transform(range(1, octet_length(encode(segment)) + 1), lambda k: chr(276 + CAST('0x' || substr(hex(encode(segment)), CAST(2 * k - 1 AS INTEGER), 2) AS INTEGER))), '')"
+SQL_TRAIN = """
+words AS (SELECT @SYM@ AS w, f FROM (SELECT segment, CAST(sum(@WEIGHT@) AS BIGINT) AS f FROM segs GROUP BY segment)),
+t(i, w, f, p, c) AS (
+  SELECT 0, w, f, '', CAST(0 AS BIGINT) FROM words
+  UNION ALL
+  SELECT i + 1, replace(w, b.p, chr(532 + i)), f, b.p, b.c
+  FROM t, (SELECT p, CAST(sum(f) AS BIGINT) AS c FROM (SELECT f, unnest(list_transform(range(1, length(w)), lambda j: substr(w, CAST(j AS INTEGER), 2))) AS p FROM t) GROUP BY p ORDER BY c DESC, p LIMIT 1) b
+  WHERE i < 10),
+merges AS (SELECT DISTINCT i - 1 AS ordinal, ord(p[1]) - 256 AS a, ord(p[2]) - 256 AS b, 275 + i AS merged, c AS weighted_count, p FROM t WHERE i > 0)""".replace("@SYM@", SQL_SYM)
+SQL_WEIGHT = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_WEIGHTS.items()) + " ELSE 1000 END"
+SQL_MERGES = SQL_LINES + "," + SQL_TRAIN.replace("@WEIGHT@", "1000")
+SQL_PIECES = SQL_MERGES + r""",
+pieces AS (SELECT doc_id, lang, unnest(l) AS segment, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(text, '\n|[\t\x0B\f ]*[^ \t\n\x0B\f]+|[\t\x0B\f ]+') AS l FROM documents)),
+uniq AS (SELECT segment, @SYM@ AS w FROM (SELECT DISTINCT segment FROM pieces)),
+ordered AS (SELECT list({'p': p, 'm': chr(532 + ordinal)} ORDER BY ordinal) AS l FROM merges),
+coded AS (SELECT segment, list_reduce(list_prepend(w, list_transform(l, lambda r: r.p || r.m)), lambda s, r: replace(s, r[1:2], r[3])) AS s FROM uniq, ordered),
+tokens AS (SELECT doc_id, lang, string_agg(s, '' ORDER BY pos) AS s FROM pieces JOIN coded USING (segment) GROUP BY doc_id, lang)""".replace("@SYM@", SQL_SYM)
+
+
+def _words(spark, sf_dir, weighted: bool = False) -> DataFrame:
+    d = docs(spark, sf_dir, "text", "lang")
+    return symbol_words(word_counts(d, weight=family_weight(F.col("lang"), LANG_WEIGHTS, 1000) if weighted else 1000))
+
+
+def _merge_rows(spark, merges: list[Merge]) -> DataFrame:
+    return spark.createDataFrame([(i, m.a, m.b, m.merged, m.count) for i, m in enumerate(merges)], "ordinal int, a int, b int, merged int, weighted_count long")
+
+
+def _tokenizer(spark, sf_dir) -> Tokenizer:
+    return Tokenizer.from_merges([(m.a, m.b) for m in train_rounds(_words(spark, sf_dir), BASE + N_MERGES, 2000)])
+
+
+@query(f"WITH {SQL_LINES} SELECT count(*) AS logical_lines, count(*) FILTER (line = '') AS empty_lines, count(*) FILTER (line <> '') - (SELECT count(*) FROM kept) AS special_lines, (SELECT CAST(sum(octet_length(encode(line))) AS BIGINT) FROM kept) AS accepted_bytes FROM lines")
+def line_stats(spark, sf_dir):
+    s = statistics(docs(spark, sf_dir).filter("text is not null"))
+    return s.select("logical_lines", F.col("skipped_empty_lines").alias("empty_lines"), F.col("skipped_special_only_lines").alias("special_lines"), F.col("accepted_line_bytes").alias("accepted_bytes"))
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, line_no, seg_no, hex(encode(segment)) AS segment FROM segs")
+def segment_explode(spark, sf_dir):
+    return segments(docs(spark, sf_dir, "doc_id", "text"), "doc_id").select("doc_id", F.col("line_no").cast("long"), F.col("seg_no").cast("long"), F.hex(F.encode("segment", "ISO-8859-1")).alias("segment"))
+
+
+@query(f"WITH {SQL_LINES} SELECT count(*) AS segments, CAST(sum(octet_length(encode(segment))) AS BIGINT) AS segment_bytes, CAST(sum(greatest(octet_length(encode(segment)) - 1, 0)) AS BIGINT) AS pair_opportunities FROM segs")
+def segment_stats(spark, sf_dir):
+    return statistics(docs(spark, sf_dir).filter("text is not null")).select(F.col("emitted_segments").alias("segments"), F.col("emitted_segment_bytes").alias("segment_bytes"), "pair_opportunities")
+
+
+@query(f"WITH {SQL_LINES} SELECT hex(encode(segment)) AS segment, count(*) * 1000 AS freq FROM segs GROUP BY ALL")
+def segment_freq(spark, sf_dir):
+    return word_counts(docs(spark, sf_dir)).select(F.hex(F.encode("segment", "ISO-8859-1")).alias("segment"), "freq")
+
+
+@query(f"WITH {SQL_LINES} SELECT hex(encode(segment)) AS segment, CAST(sum({SQL_WEIGHT}) AS BIGINT) AS freq FROM segs GROUP BY ALL")
+def weighted_segment_freq(spark, sf_dir):
+    return word_counts(docs(spark, sf_dir, "text", "lang"), weight=family_weight(F.col("lang"), LANG_WEIGHTS, 1000)).select(F.hex(F.encode("segment", "ISO-8859-1")).alias("segment"), "freq")
+
+
+@query(f"WITH {SQL_LINES} SELECT hex(encode(segment)) AS segment, count(*) AS n FROM segs GROUP BY ALL ORDER BY n DESC, segment LIMIT 20")
+def top_segments(spark, sf_dir):
+    counted = word_counts(docs(spark, sf_dir), weight=1).select(F.hex(F.encode("segment", "ISO-8859-1")).alias("segment"), F.col("freq").alias("n"))
+    return counted.orderBy(F.desc("n"), "segment").limit(20)
+
+
+@query(f"WITH {SQL_LINES} SELECT lang, CAST(sum(greatest(octet_length(encode(segment)) - 1, 0)) AS BIGINT) AS opportunities, count(*) AS segments FROM segs GROUP BY lang")
+def family_opportunity(spark, sf_dir):
+    return opportunity(docs(spark, sf_dir, "text", "lang"), "lang")
+
+
+@query(f"WITH {SQL_LINES} SELECT lang, CAST(sum(greatest(octet_length(encode(segment)) - 1, 0)) AS BIGINT) AS opportunities, count(*) AS segments FROM segs GROUP BY ROLLUP (lang)")
+def family_rollup(spark, sf_dir):
+    return opportunity(docs(spark, sf_dir, "text", "lang"), "lang", rollup=True)
+
+
+SQL_PAIRS = f"WITH {SQL_LINES}, w AS (SELECT {SQL_SYM} AS w, f FROM (SELECT segment, count(*) * 1000 AS f FROM segs GROUP BY segment)), p AS (SELECT f, unnest(list_transform(range(1, length(w)), lambda j: substr(w, CAST(j AS INTEGER), 2))) AS p FROM w) SELECT ord(p[1]) - 256 AS a, ord(p[2]) - 256 AS b, CAST(sum(f) AS BIGINT) AS n FROM p GROUP BY p"
+
+
+def _pair_rows(counts: DataFrame) -> DataFrame:
+    return counts.select((F.ascii("pair") - 256).alias("a"), (F.ascii(F.substring("pair", 2, 1)) - 256).alias("b"), "n")
+
+
+@query(SQL_PAIRS)
+def initial_pair_counts(spark, sf_dir):
+    return _pair_rows(pair_counts(_words(spark, sf_dir)))
+
+
+@query(SQL_PAIRS + " ORDER BY n DESC, p LIMIT 1")
+def best_pair(spark, sf_dir):
+    return _pair_rows(top_pairs(pair_counts(_words(spark, sf_dir))))
+
+
+@query("WITH RECURSIVE " + SQL_MERGES + " SELECT ordinal, a, b, merged, weighted_count FROM merges")
+def train_10_merges(spark, sf_dir):
+    return _merge_rows(spark, train_rounds(_words(spark, sf_dir), BASE + N_MERGES, 2000))
+
+
+@query("WITH RECURSIVE " + SQL_LINES + "," + SQL_TRAIN.replace("@WEIGHT@", SQL_WEIGHT) + " SELECT ordinal, a, b, merged, weighted_count FROM merges")
+def train_weighted_10(spark, sf_dir):
+    return _merge_rows(spark, train_rounds(_words(spark, sf_dir, True), BASE + N_MERGES, 2000))
+
+
+@query("WITH RECURSIVE " + SQL_MERGES + " SELECT ordinal, a, b, merged, weighted_count FROM merges")
+def train_collect_10(spark, sf_dir):
+    kept, path = written(_words(spark, sf_dir), "words")
+    merges = train_words([(r.sym, r.freq) for r in kept.toLocalIterator()], BASE + N_MERGES, 2000)
+    remove(spark, path)
+    return _merge_rows(spark, merges)
+
+
+@query("SELECT CAST(b AS INTEGER) AS id, printf('%02X', CAST(b - 20 AS INTEGER)) AS bytes FROM range(20, 276) t(b)")
+def vocab_bytes(spark, sf_dir):
+    return SPECIAL.vocabulary(spark).filter("kind = 'byte'").select("id", F.hex("bytes").alias("bytes"))
+
+
+@query()
+def vocab_after_10(spark, sf_dir):
+    return _tokenizer(spark, sf_dir).vocab_table(spark).select("id", F.hex("bytes").alias("bytes"), "kind")
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + " SELECT doc_id, length(s) AS n_tokens FROM tokens")
+def encode_token_counts(spark, sf_dir):
+    encode = encoder(spark, _tokenizer(spark, sf_dir))
+    return docs(spark, sf_dir, "doc_id", "text").filter("text <> ''").select("doc_id", F.size(encode(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + " SELECT ord(c) - 256 AS id, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS c FROM tokens) WHERE c <> '' GROUP BY c")
+def encode_token_freq(spark, sf_dir):
+    encode = encoder(spark, _tokenizer(spark, sf_dir))
+    return docs(spark, sf_dir).select(F.explode(encode(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + " SELECT doc_id, array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: ord(c) - 256), ' ') AS ids FROM tokens")
+def encode_ids(spark, sf_dir):
+    tokenizer = _tokenizer(spark, sf_dir)
+    return docs(spark, sf_dir, "doc_id", "text").filter("text <> ''").select("doc_id", F.array_join(encode_native(F.col("text"), tokenizer).cast("array<string>"), " ").alias("ids"))
+
+
+@query("SELECT doc_id, text, octet_length(encode(text)) AS decoded_bytes FROM documents WHERE text IS NOT NULL")
+def decode_roundtrip(spark, sf_dir):
+    tokenizer = _tokenizer(spark, sf_dir)
+    encoded = docs(spark, sf_dir, "doc_id", "text").filter("text is not null").select("doc_id", encoder(spark, tokenizer)(F.col("text")).alias("token_ids"))
+    decoded = encoded.select("doc_id", decoder(spark, tokenizer)("token_ids").alias("d"))
+    return decoded.select("doc_id", F.decode("d", "UTF-8").alias("text"), F.octet_length("d").cast("long").alias("decoded_bytes"))
+
+
+@query("SELECT item_id, text FROM benchmark WHERE text IS NOT NULL")
+def decode_by_join(spark, sf_dir):
+    tokenizer = _tokenizer(spark, sf_dir)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text is not null")
+    encoded = items.select("item_id", encoder(spark, tokenizer)(F.col("text")).alias("token_ids"))
+    return decode_join(encoded, tokenizer, "item_id").select("item_id", F.decode("decoded", "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS decoded_bytes, upper(sha256(text)) AS decoded_sha256 FROM documents WHERE text IS NOT NULL")
+def doc_evidence(spark, sf_dir):
+    tokenizer = _tokenizer(spark, sf_dir)
+    d = docs(spark, sf_dir, "doc_id", "text").filter("text is not null")
+    decoded = d.select("doc_id", decoder(spark, tokenizer)(encoder(spark, tokenizer)(F.col("text"))).alias("d"))
+    size, digest = evidence(F.col("d"))
+    return decoded.select("doc_id", size.alias("decoded_bytes"), digest.alias("decoded_sha256"))
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + " SELECT t.lang, CAST(sum(octet_length(encode(d.text))) AS BIGINT) AS bytes, CAST(sum(length(s)) AS BIGINT) AS tokens FROM tokens t JOIN documents d USING (doc_id) GROUP BY t.lang")
+def compression_by_lang(spark, sf_dir):
+    encode = encoder(spark, _tokenizer(spark, sf_dir))
+    d = docs(spark, sf_dir, "text", "lang").filter("text <> ''").select("lang", F.octet_length("text").alias("b"), F.size(encode(F.col("text"))).alias("n"))
+    return d.groupBy("lang").agg(F.sum("b").cast("long").alias("bytes"), F.sum("n").cast("long").alias("tokens"))
+
+
+ALIAS_LINES = ("<KAREEM> hello", "<KAREEM></KAREEM>", "[[ANCHOR]]x[[/ANCHOR]]", "plain", "<AI><PHIL>", "<ai>")
+SQL_ALIAS = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(ALIAS_LINES)) + ") AS v(k, line)"
+
+
+def _alias_rows(spark):
+    return spark.createDataFrame(list(enumerate(ALIAS_LINES)), "k int, line string")
+
+
+@query(f"SELECT k, unnest(regexp_extract_all(line, '{ALIAS}')) AS alias FROM {SQL_ALIAS}")
+def alias_match(spark, sf_dir):
+    spans = _alias_rows(spark).select("k", F.explode(special_spans(F.col("line"))).alias("alias"))
+    return spans.join(F.broadcast(SPECIAL.alias_table(spark)), "alias").select("k", "alias")
+
+
+@query(f"SELECT k, line FROM {SQL_ALIAS} WHERE regexp_full_match(line, '(?:{ALIAS})+')")
+def special_only_lines(spark, sf_dir):
+    return lines(_alias_rows(spark), "k", text="line").filter(F.col("line").rlike(rf"\A(?:{ALIAS})+\z")).select("k", "line")
+
+
+@query("SELECT * FROM (VALUES (0, chr(10), 'literal'), (1, '<KAREEM>', 'mergeable'), (2, chr(13), 'literal'), (3, chr(10), 'literal'), (4, 'a', 'mergeable'), (5, '  b', 'mergeable'), (6, chr(13), 'mergeable'), (7, chr(13), 'literal'), (8, chr(10), 'literal'), (9, 'last', 'mergeable')) AS v(pos, piece, kind)")
+def lossless_pieces(spark, sf_dir):
+    return lossless(spark.createDataFrame([("\n<KAREEM>\r\na  b\r\r\nlast",)], "text string")).select("pos", "piece", "kind")
+
+
+@query("SELECT l_linenumber AS a, l_suppkey AS b, (CAST(l_linenumber AS BIGINT) << 32) | CAST(l_suppkey AS BIGINT) AS key FROM lineitem")
+def pair_pack(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.col("l_linenumber").alias("a"), F.col("l_suppkey").alias("b"), pair_key_column(F.col("l_linenumber"), F.col("l_suppkey")).alias("key"))
+
+
+@query("SELECT * FROM (VALUES (1, 'DuplicateMerge'), (2, 'MergeOperandOutOfRange'), (3, 'NonSequentialMerge'), (4, 'ReconstructionMismatch')) AS v(ordinal, fault)")
+def merge_validate(spark, sf_dir):
+    good = Tokenizer.from_merges([(117, 118), (276, 119), (118, 119), (20, 21), (22, 23)])
+    rows = [(0, 117, 118, 276), (1, 117, 118, 277), (2, 300, 118, 278), (3, 20, 21, 999), (4, 22, 24, 280)]
+    return merge_faults(spark.createDataFrame(rows, "ordinal int, a int, b int, merged int"), good.vocab_table(spark))
+
+
+FAMILY_OF = dict(zip(("en", "de", "fr", "es"), FAMILIES))
+
+
+def _entries(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    family = F.create_map(*[F.lit(x) for kv in FAMILY_OF.items() for x in kv])[F.col("lang")]
+    return d.select(F.lit("corpus").alias("root_id"), F.format_string("d/%09d.txt", "doc_id").alias("relative_path"), family.alias("family"), (F.col("source") != "src0").alias("enabled"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("SELECT 'corpus' AS root_id, printf('d/%09d.txt', doc_id) AS relative_path, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'corpus', printf('d/%09d.txt', doc_id), 'undeclared' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def manifest_diff(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.lit("corpus").alias("root_id"), F.format_string("d/%09d.txt", "doc_id").alias("relative_path"))
+    return difference(_entries(spark, sf_dir), found)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, source, lag(source) OVER (ORDER BY doc_id) AS before FROM documents) WHERE NOT (before < source)")
+def manifest_order_check(spark, sf_dir):
+    order = Window.partitionBy("part").orderBy("doc_id")  # parts of ids with the last row of the part before, so that no task sees all rows
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.floor(F.col("doc_id") / 10_000).alias("part"))
+    ends = d.groupBy("part").agg(F.max_by("source", "doc_id").alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))
+    rows = d.withColumn("before", F.lag("source").over(order)).withColumn("n", F.row_number().over(order)).join(ends, "part")
+    return rows.withColumn("before", F.when(F.col("n") == 1, F.col("end")).otherwise(F.col("before"))).filter("not (before < source)").select("doc_id")
+
+
+@query("SELECT CASE lang WHEN 'en' THEN 'identity' WHEN 'de' THEN 'scripture' WHEN 'fr' THEN 'wikitext' WHEN 'es' THEN 'bookcorpus' END AS family, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents WHERE source <> 'src0' GROUP BY ALL")
+def family_coverage(spark, sf_dir):
+    return coverage(_entries(spark, sf_dir))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, upper(sha256(text)) AS sha256, true AS utf8 FROM documents WHERE text IS NOT NULL")
+def doc_digests(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "text").filter("text is not null")
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.upper(F.sha2("text", 256)).alias("sha256"), F.is_valid_utf8("text").alias("utf8"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def dup_documents(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "text").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return d.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query("SELECT sha256(string_agg(sha256(text) || '  ' || octet_length(encode(text)) || '  ' || printf('%09d', item_id) || chr(10), '' ORDER BY item_id)) AS digest FROM benchmark")
+def run_tree_digest(spark, sf_dir):
+    from .runs import tree_digest
+
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return tree_digest(rows.select(F.format_string("%09d", "item_id").alias("relative"), F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("sha256")))
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + " SELECT doc_id, length(s) + 1 AS tokens, CAST(coalesce(sum(length(s) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tokens")
+def pack_offsets(spark, sf_dir):
+    encode = encoder(spark, _tokenizer(spark, sf_dir))
+    encoded, _ = written(docs(spark, sf_dir, "doc_id", "text").filter("text <> ''").select("doc_id", encode(F.col("text")).alias("token_ids")), "encoded")
+    return packing.offsets(encoded, "doc_id")
+
+
+@query()
+def pack_windows(spark, sf_dir):
+    encode = encoder(spark, _tokenizer(spark, sf_dir))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text <> ''")
+    encoded, _ = written(items.select("item_id", encode(F.col("text")).alias("token_ids")), "encoded")
+    return packing.pack(encoded, "item_id")
+
+
+SCAN_PATHS = ("a/x_annotated.md", "a/Scripture of y.txt", "a/z.json", "b/wikitext/q.txt", "b/wikitext_extracted/q.txt", "c/plain.txt", "c/blu.txt")
+
+
+@query("SELECT * FROM (VALUES ('a/x_annotated.md', 'identity', 5000), ('a/Scripture of y.txt', 'scripture', 3000), ('b/wikitext_extracted/q.txt', 'foundation', 1000), ('c/blu.txt', 'identity', 5000)) AS v(path, tier, weight)")
+def audit_scan(spark, sf_dir):
+    return scan(spark.createDataFrame([(p,) for p in SCAN_PATHS], "path string"))
