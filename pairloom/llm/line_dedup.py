@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 BREAK = r"<[^>]*>|\n"
 RATIO, MIN_PAGES = 0.3, 3
+SMALL, SALTS = 1_000_000, 64  # boilerplate lines of all hosts that are sent out whole (about 20 bytes each); else salts of a host
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -35,7 +36,13 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     hosts = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     often = seen.join(hosts, "host").filter(F.col("n") > ratio * F.col("pages"))
     listed = often.groupBy(F.col("host").alias("_host")).agg(F.collect_list("mark").alias("often"))
-    out = read.join(listed, F.col("host") == F.col("_host"), "left")
+    listed = keep(listed, "boilerplate")
+    if (listed.agg(F.sum(F.size("often"))).first()[0] or 0) <= SMALL:
+        out = read.join(F.broadcast(listed), F.col("host") == F.col("_host"), "left")
+    else:  # a hot host's pages go to as many tasks as there are salts
+        dealt = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = read.withColumn("_salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(SALTS)).cast("int"))
+        out = salted.join(dealt, (F.col("host") == F.col("_host")) & (salted["_salt"] == dealt["_salt"]), "left")
     stay = F.when(F.col("often").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("often"), mark(x))))
     out = out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), stay.alias("stay"))
     return out.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("text"))
