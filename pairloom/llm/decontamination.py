@@ -200,7 +200,7 @@ def _searcher(sent, options: dict):
             _indexes[name] = Index(sent.value, **options)
         return pd.Series(_indexes[name].search(texts.tolist()))
 
-    return F.pandas_udf(search, HITS)
+    return F.pandas_udf(search, HITS).asNondeterministic()  # else the optimiser may run it for a filter and again for its value
 
 
 def hits(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> Column:
@@ -222,4 +222,4 @@ def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak a benchmark item go."""
-    return docs.withColumn("_hit", hits(F.col("text"), table(spark, sf_dir, "benchmark"))).filter("size(_hit) = 0").select(docs.columns)
+    return docs.filter(F.size(hits(F.col("text"), table(spark, sf_dir, "benchmark"))) == 0)

@@ -111,9 +111,9 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words is no part of the mix, which counts words.
     """
     mixed = mix(docs.select("doc_id", "text", "source")).filter("taken > 0")
-    take = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.expr("CAST(ceil(taken / size) AS INT)").alias("_copies"), F.col("position").alias("_position"))
-    take = take.groupBy("_id", "_source", "_size").agg(F.max("_copies").alias("_copies"), F.min("_position").alias("_position"))
-    sized = docs.select(*[F.col(c) for c in docs.columns], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_n"))
-    out = sized.join(take, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(docs.columns)
+    take = mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), F.expr("CAST(ceil(taken / size) AS INT)").alias("copies"), "position")
+    take = take.groupBy("id", "of", "words").agg(F.max("copies").alias("copies"), F.min("position").alias("position"))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of")) & (F.col("n") == F.col("words"))
+    out = sized.join(take, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")

@@ -6,8 +6,8 @@ dense array of scores (queries x candidates of the block). Each task keeps the b
 partition by partition selection; the partial lists are merged by a window over each query. Candidates are scanned in place
 and never shuffled. Queries are sent out in blocks of at most ``query_block`` rows, one pass over the candidates each.
 
-Score: integer inner product, over the dimensions that both hold. Scores that 64 bits may not hold are added as Python
-integers and returned saturated. Ties go to the smaller id. A query's own row is every row with its id.
+Score: integer inner product, over the dimensions that both hold. Weights beyond 9e18 stop
+there; scores that 64 bits may not hold are added as Python integers and stop at +-(2^63 - 1). Ties go to the smaller id. A query's own row is every row with its id.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; an
 empty vector scores 0; of several rows with one query id the smallest vector asks; repeated candidates are listed each;
@@ -66,7 +66,7 @@ def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]
             scores += part
         else:
             scores[asking[:, None], at[None, :]] += part
-    return scores
+    return np.clip(scores, 1 - LIMIT, LIMIT - 1).astype(np.int64) if wide else scores
 
 
 def _scan(sent, k: int):
@@ -95,7 +95,7 @@ def _scan(sent, k: int):
                     s, o = (np.delete(score, np.s_[a:b]), np.delete(own, np.s_[a:b])) if b > a else (score, own)
                     got = _best(s, o, k)
                     lists[i] = sorted([*lists[i], *((-int(s[j]), int(o[j])) for j in got)])[:k]
-        rows = [(ids[i], o, max(-LIMIT, min(LIMIT - 1, -s))) for i, found in enumerate(lists) for s, o in found]
+        rows = [(ids[i], o, -s) for i, found in enumerate(lists) for s, o in found]
         yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     return run

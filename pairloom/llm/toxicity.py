@@ -243,7 +243,7 @@ def scorer(spark, model: Model):
             _models[name] = sent.value
         return pd.Series(_models[name].score(texts.tolist()))
 
-    return F.pandas_udf(score, "double")
+    return F.pandas_udf(score, "double").asNondeterministic()  # run once, wherever its value is used
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -256,4 +256,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
     score = scorer(spark, fit(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score("text")).filter("_score < 0.5").select(docs.columns)
+    return docs.filter(score("text") < 0.5)

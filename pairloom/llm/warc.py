@@ -53,12 +53,12 @@ def digest32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record(url: str, number: int | None, kind: str, digest: str, refers_to: int | None, refers_url: str | None, payload: bytes) -> bytes:
+def record(url: str, number: int | None, kind: str, digest: str, refers_to: int | None, refers_url: str | None, refers_key: str | None, payload: bytes) -> bytes:
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{number}\n{url}\n{digest}")
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Capture-Number: {'' if number is None else number}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {(refers_url or '').replace(chr(13), '%0D').replace(chr(10), '%0A').replace(' ', '%20')}", f"X-Refers-To-Number: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {(refers_url or '').replace(chr(13), '%0D').replace(chr(10), '%0A').replace(' ', '%20')}", f"X-Refers-To-Number: {refers_to}", f"X-Refers-To-Key: {json.dumps(refers_key)}"]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = head + (payload if kind == "response" else b"")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, min_payload: int = 0, block_entries: int =
     same = rows.filter(F.octet_length("payload") >= min_payload).groupBy(F.col("sha1").alias("_sha1")).agg(F.max(F.struct("number", "key", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1 and first.number is not null")
     same = keep(same.select("_sha1", "first"), "warc-payloads")
     rows = rows.join(same, F.col("sha1") == F.col("_sha1"), "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
-    rows = rows.select("key", "number", "url", "sha1", "revisit", F.when(F.col("revisit"), F.col("first.number")).alias("to"), F.when(F.col("revisit"), F.col("first.url")).alias("to_url"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
+    rows = rows.select("key", "number", "url", "sha1", "revisit", F.when(F.col("revisit"), F.col("first.number")).alias("to"), F.when(F.col("revisit"), F.col("first.url")).alias("to_url"), F.when(F.col("revisit"), F.col("first.key")).alias("to_key"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, min_payload: int = 0, block_entries: int =
             for row in (r for i in range(0, batch.num_rows, 256) for r in batch.slice(i, 256).to_pylist()):
                 shard = shard or _Shard(open_store(folder)[0], root, TaskContext.get().partitionId(), block_entries)
                 kind = "revisit" if row["revisit"] else "response"
-                shard.add(row["key"], record(row["url"] or "", row["number"], kind, digest32(row["sha1"]), row["to"], row["to_url"], row["payload"] or b""))
+                shard.add(row["key"], record(row["url"] or "", row["number"], kind, digest32(row["sha1"]), row["to"], row["to_url"], row["to_key"], row["payload"] or b""))
         if shard:
             yield pa.RecordBatch.from_pylist([shard.close()], pa.schema([("shard", pa.int32()), ("first", pa.string()), ("blocks", pa.int32()), ("entries", pa.int64())]))
 
@@ -227,7 +227,7 @@ def read_archives(folder: str, shards: DataFrame, id_col: str = "page_id") -> Da
                 if digest not in sizes:
                     if len(sizes) > 100_000:
                         sizes.clear()
-                    found = reader.lookup(key_text(headers["warc-refers-to-target-uri"], to))
+                    found = reader.lookup(json.loads(headers["x-refers-to-key"]))
                     if found is None:
                         raise ValueError(f"the response {to} of a revisit is in no archive")
                     sizes[digest] = (len(found[1]), base64.b32encode(hashlib.sha1(found[1]).digest()).decode())
