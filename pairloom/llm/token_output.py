@@ -5,7 +5,8 @@ Texts are range-partitioned and sorted by id; a task encodes its texts, cuts the
 leaves the same files. Offsets of documents come from the blocks' totals, never from one task over all rows.
 
 Encoding: every pre-token of the vocabulary is free of white space, so a text's ids are its white-space chunks' ids in a
-row, and each worker keeps the ids of chunks it has met. Texts with the separators U+001C to U+001F, which Python and
+row, and each worker keeps the ids of chunks and of pre-tokens it has met. Chunks of characters that need no normal form
+are cut into pre-tokens here, and those not met yet are encoded together; other chunks go to the tokenizer. Texts with the separators U+001C to U+001F, which Python and
 the tokenizer class differently, go to the tokenizer whole.
 
 Edge cases: a null text is empty (only the end id); a null id sorts first and stays null; repeated rows stay, in text
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from unicodedata import normalize
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,24 @@ END_ID = 2
 CACHE = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 _odd = re.compile("[\x1c-\x1f]")
+#: Latin, Cyrillic and common punctuation: normal forms as they are, with the same lower case and classes everywhere.
+RANGE = {*range(0x300), *range(0x400, 0x483), *range(0x48A, 0x500), *range(0x2010, 0x2028)}
+PLAIN = sorted(c for c in RANGE if RANGE.issuperset(map(ord, chr(c).lower())))
+_class = lambda kind: "".join(re.escape(chr(c)) for c in PLAIN if category(chr(c))[0] == kind)
+_plain = re.compile(f"(?!.*<\\|)[{''.join(re.escape(chr(c)) for c in PLAIN)}]*", re.S)
+#: The vocabulary's own pre-token pattern over those characters; a line feed divides chunks.
+_pretoken = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\n{_class('L')}{_class('N')}]+")
 
 
 class Encoder:
     """Ids of texts as little-endian u32 bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, {"\n": b""}  # ids of chunks, of pre-tokens
+        self.bare = Tokenizer(self.tokenizer.model)  # for pre-tokens that stand apart and need no normalising
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
@@ -56,22 +66,12 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _split(chunk: str) -> tuple[str, str, bool]:
-        """Letters and the marks behind them, which are always pre-tokens of their own; ASCII letters in lower case."""
-        core = chunk.rstrip(".,;:!?")
-        if core.isascii() and core.isalpha():
-            return core.lower(), chunk[len(core) :], True
-        if core.isalpha() and normalize("NFC", core).lower().isalpha():
-            return core, chunk[len(core) :], True
-        return chunk, "", False
-
-    def _letters(self, cores: list[str]) -> list[bytes]:
-        """Ids of words of letters, many in one text: each is one pre-token, and its last piece alone bears the end mark."""
+    def _pretokens(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of lower-case pre-tokens, many in one text: the last piece of each, and no other, bears the end mark."""
         out = []
-        for i in range(0, len(cores), 512):
-            part = cores[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        for i in range(0, len(pretokens), 512):
+            part = pretokens[i : i + 512]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
             if len(stops) != len(part):
                 out += self._direct(part)
@@ -81,36 +81,36 @@ class Encoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        known = self.known
-        split = {c: self._split(c) for c in chunks}
-        cores = list({core for core, _, letters in split.values() if letters and core not in known})
-        known.update(zip(cores, self._letters(cores)))
-        others = list({p for core, tail, letters in split.values() for p in ((tail,) if letters else (core,)) if p and p not in known})
-        known.update(zip(others, self._direct(others)))
-        for chunk, (core, tail, _) in split.items():
-            known[chunk] = known[core] + known[tail] if tail else known[core]
+        known, held = self.known, self.held
+        if len(held) > CACHE:
+            held.clear()
+            held["\n"] = b""
+        plain = list(filter(_plain.fullmatch, chunks))
+        if len(plain) < len(chunks):
+            others = list(chunks.difference(plain))
+            known.update(zip(others, self._direct(others)))
+        found = _pretoken.findall("\n".join(plain).lower())
+        new = list(set(found).difference(held))
+        held.update(zip(new, self._pretokens(new)))
+        at = 0
+        found.append("\n")
+        for chunk in plain:
+            stop = found.index("\n", at)
+            known[chunk] = held[found[at]] if stop == at + 1 else b"".join([held[x] for x in found[at:stop]])
+            at = stop + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 64):
             if len(self.known) > CACHE:
                 self.known.clear()
-            get, missing, found = self.known.get, set(), []
-            for text in texts[i : i + 64]:
-                if text and _odd.search(text):
-                    found.append((None, self._direct([text]), ()))
-                    continue
-                chunks = (text or "").split()
-                parts = list(map(get, chunks))
-                gaps = [k for k, part in enumerate(parts) if part is None] if None in parts else ()
-                missing.update([chunks[k] for k in gaps])
-                found.append((chunks, parts, gaps))
+            part = [text or "" for text in texts[i : i + 64]]
+            split = [None if _odd.search(text) else text.split() for text in part]
+            missing = set().union(*filter(None, split)).difference(self.known)
             if missing:
                 self._learn(missing)
-            for chunks, parts, gaps in found:
-                for k in gaps:
-                    parts[k] = self.known[chunks[k]]
-                out.append(b"".join(parts))
+            ids = self.known.__getitem__
+            out += [self._direct([text])[0] if chunks is None else b"".join(map(ids, chunks)) for text, chunks in zip(part, split)]
         return out
 
 
