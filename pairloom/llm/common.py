@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -49,6 +50,27 @@ def discard(spark: SparkSession, df_or_path) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, total: int, salt: Column, small: Column | None = None) -> DataFrame:
+    """``rows`` with the values of ``groups`` (one row a key, ``n`` rows bear it), null where a key has none.
+
+    A key of more than 1 in 4,096 of the ``total`` rows is hot. Values of hot keys, at most 4,096 rows, are broadcast and the
+    rows that bear one are dealt out by ``salt``, so that no task gets all rows of a key. ``small`` tells which values are of
+    bounded size; others are never broadcast.
+    """
+    hot = F.col("n") * HEAVY > total
+    hot = hot & small if small is not None else hot
+    values = F.struct(*[c for c in groups.columns if c not in (key, "n")])
+    sent = groups.filter(hot).select(F.col(key).alias("_hot"), values.alias("_hot_values"))
+    rest = groups.filter(~hot).select(F.col(key).alias("_cold"), F.pmod(F.xxhash64(key), F.lit(1)).alias("_part"), values.alias("_cold_values"))
+    dealt = rows.join(F.broadcast(sent), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(salt), F.lit(HEAVY))).cast("long"))
+    joined = dealt.join(rest, (F.col(key) == F.col("_cold")) & (F.col("_salt") == F.col("_part")), "left")
+    return joined.withColumn("_values", F.coalesce("_hot_values", "_cold_values")).select(*rows.columns, "_values.*")
+
+
 def open_store(uri: str):
     """(filesystem, path) of a shared folder for Python code on executors."""
     from pyarrow import fs

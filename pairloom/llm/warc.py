@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, keep, open_store, table
+from .common import fresh_path, keep, open_store, spread_join, table
 
 TAIL = struct.Struct("<QQ4s")
 MAGIC = b"CDX2"
@@ -184,8 +184,9 @@ def write_archives(pages: DataFrame, min_payload: int = 0, block_entries: int =
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("number"), F.col(url_col).alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"), F.concat(url_key(F.col(url_col)), F.lit(" "), sortable(F.col(id_col))).alias("key"))
     same = rows.filter(F.octet_length("payload") >= min_payload).groupBy(F.col("sha1").alias("_sha1")).agg(F.max(F.struct("number", "key", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1 and first.number is not null")
-    same = keep(same.select("_sha1", "first"), "warc-payloads")
-    rows = rows.join(same, F.col("sha1") == F.col("_sha1"), "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
+    same = keep(same.select(F.col("_sha1").alias("sha1"), "n", "first"), "warc-payloads")
+    short = F.coalesce(F.octet_length("first.url"), F.lit(0)) <= 8192
+    rows = spread_join(rows, same, "sha1", pages.count(), F.col("number"), short).withColumn("revisit", F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
     rows = rows.select("key", "number", "url", "sha1", "revisit", F.when(F.col("revisit"), F.col("first.number")).alias("to"), F.when(F.col("revisit"), F.col("first.url")).alias("to_url"), F.when(F.col("revisit"), F.col("first.key")).alias("to_key"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
 
     def write(batches):

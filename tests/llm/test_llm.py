@@ -361,3 +361,22 @@ def test_pipeline(spark):
             assert out.count() <= at.count() and out.exceptAll(at).count() == 0
         at = out
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_spread_join(spark):
+    from pairloom.llm.common import spread_join
+
+    keys = [1] * 4000 + [2] * 3000 + list(range(10, 900)) + [5]
+    data = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k long").repartition(4)
+    groups = spark.createDataFrame([(k, keys.count(k), f"v{k}", "x" * (k == 2)) for k in sorted({*keys} - {5})], "k long, n long, v string, long string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for small in (None, F.col("long") == ""):
+            out = spread_join(data, groups, "k", len(keys), F.col("id"), small)
+            assert sorted((r.id, r.k, r.v) for r in out.collect()) == [(i, k, None if k == 5 else f"v{k}") for i, k in enumerate(keys)]
+            assert "hashpartitioning(k" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "_salt" in plan.split("hashpartitioning(k")[1].split(")")[0]
+        assert spread_join(data.limit(0), groups.limit(0), "k", 0, F.col("id")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
