@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, keep, table
+from .common import discard, keep, spread_join, table
 
 FANOUT = 16
 CELLS = 4_000_000  # index entries one search step looks at, at most
@@ -218,14 +218,15 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, group_rows: int = 1 << 18) -> DataFrame:
     """One row per row of ``docs``: the id, ``fp`` (long) and ``component_id``, the smallest id reachable."""
     printed = keep(docs.select(F.col(id_col).alias(id_col), fingerprint_of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")), "fp")
-    fps = printed.groupBy("fp").agg(F.min(id_col).alias("first"))
+    fps = printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
     linked = components(hamming_stars(fps.select("fp"), radius, group_rows))
     member = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     named = member.join(fps, member.node == fps.fp).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     group = named.join(least, "root").select(F.col("node").alias("fp"), "least")
-    whole = fps.join(group, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return printed.join(whole, "fp").select(id_col, "fp", "component_id")
+    whole = keep(fps.join(group, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "fp-groups")
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    return spread_join(printed, whole, "fp", total, F.col(id_col)).select(id_col, "fp", "component_id")
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
