@@ -1,6 +1,7 @@
 """Re-Pair grammar compression of token-id streams, and the block file that holds it.
 
-``compress`` repeats rounds: count adjacent pairs, give the frequent ones nonterminals, replace them from left to right.
+``compress`` repeats rounds until no pair comes ``min_count`` times or the symbols run out: count adjacent pairs exactly, give
+those at least a quarter as frequent as the most frequent one nonterminals, replace them, of overlapping ones the more frequent.
 A pair never spans the end of a document, so each document owns a run of symbols and can be decoded alone. ``rules``
 holds the two symbols of each nonterminal (smaller symbols only) and ``expansion`` the number of ids each one stands for,
 which lets ``Block.ids`` skip to a position without decoding what stands before it.
@@ -18,54 +19,85 @@ import numpy as np
 
 MAGIC = b"RPB1"
 HEAD = struct.Struct("<4sIIIIIQ")
-BINS = 1 << 18
+SHARE = 4  # a round takes the pairs with at least 1 / SHARE of the highest count
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4, min_count: int = 8):
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """Which of the ascending places are second, fourth and so on in a row of neighbours."""
+    run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    return (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 1
+
+
+def _apart(at: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which of the ascending places to replace: no two neighbours, the lower level first, and none that could still be."""
+    kept, left = np.zeros(len(at), bool), np.arange(len(at))
+    while len(left):
+        near, below = np.diff(at[left]) == 1, np.diff(level[left]) > 0
+        win = np.ones(len(left), bool)
+        win[1:] &= ~(near & below)
+        win[:-1] &= ~near | below
+        kept[left[win]] = True
+        done = win.copy()
+        done[1:] |= near & win[:-1]
+        done[:-1] |= near & win[1:]
+        left = left[~done]
+    return kept
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None, min_count: int = 8):
     """ids: uint32; ends: index past each document's last id. Returns symbols, past-the-end symbol of each document, rules."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     stops = np.asarray(ends, np.int64)
     last[stops[stops > 0] - 1] = True
     room = max(0, 65536 - terminals) if terminals < 65536 else 1 << 16
+    word, bits, mix = (np.uint32, 16, 0x9E3779B1) if terminals + room <= 65536 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    slot = lambda key: (key * word(mix)) >> word(2 * bits - 20)
     rules: list[np.ndarray] = []
-    known = 0
-    for left in range(rounds, 0, -1):
-        if len(seq) < 2 or known >= room:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
+    known = done = 0
+    while len(seq) > 1 and known < room and (rounds is None or done < rounds):
+        done += 1
+        key = (seq[:-1].astype(word) << word(bits)) | seq[1:]
         free = ~last[:-1]
-        count = np.bincount(hashed[free], minlength=BINS)
-        quota = -(-(room - known) // left)
-        bins = np.flatnonzero(count >= min_count)
-        if len(bins) > quota:
-            bins = bins[np.argsort(-count[bins], kind="stable")[:quota]]
-        pair_of = np.zeros(BINS, np.uint64)
-        pair_of[hashed[free]] = key[free]  # of pairs that share a bin, one is replaced now and the others in a later round
-        wanted = np.zeros(BINS, bool)
-        wanted[bins] = True
-        at = np.flatnonzero(wanted[hashed] & free)
-        at = at[key[at] == pair_of[hashed[at]]]
-        count = np.bincount(hashed[at], minlength=BINS)
-        chosen = np.flatnonzero(count >= min_count)
-        if not len(chosen):
+        second = np.zeros(len(key), bool)  # in a run of one symbol every second pair overlaps the one before
+        equal = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+        second[equal[_every_second(equal)]] = True
+        ordered = np.sort(key[free & ~second])
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        count = np.diff(np.r_[first, len(ordered)])
+        top = int(count.max(initial=0))
+        if top < min_count:
             break
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")]
-        symbol = np.zeros(BINS, np.uint32)
+        often = np.flatnonzero(count >= max(min_count, top / SHARE))
+        often = np.sort(often[np.argsort(-count[often], kind="stable")[: room - known]])
+        pair, count = ordered[first[often]], count[often]
+        wanted = np.zeros(1 << 20, bool)  # a sieve only; pairs are told apart by their keys
+        wanted[slot(pair)] = True
+        at = np.flatnonzero(wanted[slot(key)] & free)
+        which = np.minimum(np.searchsorted(pair, key[at]), len(pair) - 1)
+        hit = pair[which] == key[at]
+        at, which = at[hit], which[hit]
+        rank = np.zeros(len(pair), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(pair))
+        level = 2 * rank[which] + second[at]
+        while True:  # without the pairs that others leave too rare; the most frequent one always stays
+            kept = _apart(at, level)
+            uses = np.bincount(which[kept], minlength=len(pair))
+            stays = (uses >= min_count)[which]
+            if stays.all():
+                break
+            at, which, level = at[stays], which[stays], level[stays]
+        chosen = np.flatnonzero(uses)
+        symbol = np.zeros(len(pair), np.uint32)
         symbol[chosen] = terminals + known + np.arange(len(chosen), dtype=np.uint32)
-        new = symbol[hashed[at]]
-        at, new = at[new > 0], new[new > 0]
-        run = np.flatnonzero(np.r_[True, np.diff(at) != 1])  # of neighbouring candidates every second one is replaced
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
-        at, new = at[odd], new[odd]
-        seq[at] = new
+        at = at[kept]
+        seq[at] = symbol[which[kept]]
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        pairs = pair_of[chosen]
-        rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
+        made = pair[chosen].astype(np.uint64)
+        rules.append(np.stack([made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)], 1).astype(np.uint32))
         known += len(chosen)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     ended = np.flatnonzero(last) + 1
@@ -88,7 +120,7 @@ def expansions(rules: np.ndarray, terminals: int) -> np.ndarray:
     return size[terminals:]
 
 
-def pack(doc_ids, ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = 4) -> bytes:
+def pack(doc_ids, ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None) -> bytes:
     """doc_ids: ints or None."""
     seq, stops, rules = compress(ids, ends, terminals, rounds)
     width = 2 if terminals + len(rules) <= 65536 else 4

@@ -114,7 +114,7 @@ class Encoder:
         return out
 
 
-def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int):
+def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int | None):
     def run(batches):
         from pyspark import TaskContext
 
@@ -153,7 +153,7 @@ def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int):
 _rows = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("file", pa.string()), ("base", pa.int64()), ("n_ids", pa.int64())])
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 21, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = 1 << 21, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Writes the blocks; returns their folder and the written table of blocks (shard, block, file, base in the shard, n_ids)."""
     folder = fresh_path(docs.sparkSession, "token-blocks")
     store, root = open_store(folder)

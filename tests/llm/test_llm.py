@@ -330,6 +330,28 @@ def test_re_pair_round_trip():
         repair.Block(repair.pack([1], ids[:5], np.array([5]), 5) + b"x")
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(12)
+    passage = rng.integers(0, 40_000, 64)
+    parts = [x for _ in range(60) for x in (rng.integers(0, 40_000, 50), passage)] + [np.minimum(rng.zipf(1.1, 200_000), 39_999), np.full(999, 7)]
+    ids, ends = np.concatenate(parts).astype(np.uint32), np.cumsum([len(p) for p in parts])
+    for terminals in (40_000, 70_000):
+        seq, stops, rules = repair.compress(ids, ends, terminals)
+        assert max(repair.expansions(rules, terminals)) >= 64 and len(rules) < 65536 - 40_000
+        counts = {}
+        for a, b in zip([0, *stops.tolist()], stops.tolist()):
+            before = None
+            for pair in zip(seq[a:b].tolist(), seq[a + 1 : b].tolist()):
+                before = None if pair == before else pair  # of a run of one symbol every second pair counts
+                if before:
+                    counts[pair] = counts.get(pair, 0) + 1
+        assert max(counts.values()) < 8
+        uses = np.bincount(np.r_[seq, rules.reshape(-1)], minlength=terminals + len(rules))[terminals:]
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules) and uses.min() > 0
+        block = repair.Block(repair.pack(range(len(ends)), ids, ends, terminals))
+        assert (block.all_ids() == ids).all() and (block.ids(1, 5, 60) == passage[5:60]).all()
+
+
 def test_token_output(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
