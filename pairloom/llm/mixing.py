@@ -4,7 +4,9 @@ Each source has a weight schedule over training time 0..1, given as knots (time,
 the source's weight; the share of the whole demand follows from it, no source gets more than ``max_epochs`` times its size,
 and what a capped source leaves goes to the others by weight. A source's documents form a stream in hash order, run through
 up to ``max_epochs`` times; the token at offset o of the stream is needed at the time when the source's cumulative demand
-(the schedule's integral) reaches o, so inverting that integral gives the training position. Output is range-sorted by it.
+(the schedule's integral) reaches o, so inverting that integral gives the training position. The takes of a document follow
+one another by the source's size in the stream, and each has a position of its own. Output is range-sorted by position: of
+each document's first take in ``mix``, of every take in ``mixing_stage``.
 
 Running sums are taken within (source, hash bucket) and joined to the buckets' offsets, so a hot source is spread.
 
@@ -66,10 +68,14 @@ def _plan(totals: list, schedules, demand_ratio: Fraction, max_epochs: int) -> l
 _schema = T.StructType([T.StructField("of_source", T.StringType())] + [T.StructField(n, T.LongType() if n != "target" else T.DoubleType()) for n in ("source_size", "target", "want")] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("times", "weights", "done")])
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(3, 2), max_epochs: int = 2, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken, position (0..1, null if not taken); sorted by position."""
-    spark = docs.sparkSession
-    sized = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+def _sized(doc_id, text, source, *others) -> list:
+    """Columns for :func:`_placed`; ``mark`` orders rows of one id and size."""
+    return [doc_id.alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *others]
+
+
+def _placed(sized: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(3, 2), max_epochs: int = 2, bucket_rows: int = 1024) -> DataFrame:
+    """The rows of ``sized`` with source_size, target, taken and positions (one for each time a row is taken, also in part)."""
+    spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()  # a row a source
     rows = sum(r["n"] for r in totals)
     buckets = 8
@@ -83,37 +89,45 @@ def mix(docs: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("offset"))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     run = run.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
     run = run.withColumn("start", F.col("before") + F.col("offset")).join(plan, F.col("source").eqNullSafe(F.col("of_source")))
 
     whole = F.expr("CASE WHEN source_size > 0 THEN want DIV source_size ELSE 0 END")
     run = run.withColumn("epochs", whole).withColumn("rest", F.expr("want - epochs * source_size"))
-    run = run.withColumn("taken", F.expr("size * epochs + greatest(0L, least(size, rest - start))"))
-    run = run.withColumn("need", F.expr("CASE WHEN want > 0 THEN least(1D, start / want) * done[size(done) - 1] ELSE 0D END"))
-    run = run.withColumn("i", F.expr("greatest(1, least(size(done) - 1, size(filter(done, d -> d <= need))))"))
-    run = run.withColumn("slope", F.expr("(weights[i] - weights[i - 1]) / (times[i] - times[i - 1])")).withColumn("gap", F.expr("need - done[i - 1]"))
-    step = F.expr("CASE WHEN gap <= 0 THEN 0D ELSE 2 * gap / (weights[i - 1] + sqrt(greatest(0D, weights[i - 1] * weights[i - 1] + 2 * slope * gap))) END")
-    out = run.withColumn("position", F.when(F.col("taken") > 0, F.expr("times[i - 1]") + step))
+    run = run.withColumn("part", F.expr("greatest(0L, least(size, rest - start))")).withColumn("taken", F.expr("size * epochs + part"))
+    needs = "transform(sequence(0L, epochs + IF(part > 0, 0, -1)), e -> least(1D, (e * source_size + start) / want) * done[size(done) - 1])"
+    run = run.withColumn("needs", F.expr(f"CASE WHEN taken > 0 THEN {needs} ELSE CAST(array() AS array<double>) END"))
+    run = run.withColumn("places", F.expr("transform(needs, n -> struct(n AS need, greatest(1, least(size(done) - 1, size(filter(done, d -> d <= n)))) AS i))"))
+    run = run.withColumn("gaps", F.expr("transform(places, p -> struct(p.i AS i, p.need - done[p.i - 1] AS gap, (weights[p.i] - weights[p.i - 1]) / (times[p.i] - times[p.i - 1]) AS slope))"))
+    step = "CASE WHEN g.gap <= 0 THEN 0D ELSE 2 * g.gap / (weights[g.i - 1] + sqrt(greatest(0D, weights[g.i - 1] * weights[g.i - 1] + 2 * g.slope * g.gap))) END"
+    return run.select(*sized.columns, "source_size", "target", "taken", F.expr(f"transform(gaps, g -> times[g.i - 1] + {step})").alias("positions"))
+
+
+def mix(docs: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(3, 2), max_epochs: int = 2, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a document: id, source, size, source_size, target, taken, position (0..1, null if not taken), positions; sorted by position.
+
+    ``positions`` holds the place of each take, ``position`` that of the first.
+    """
+    sized = keep(docs.select(*_sized(F.col(id_col), F.col(text_col), F.col(source_col))), "mix-sizes")
+    out = _placed(sized, schedules, demand_ratio, max_epochs, bucket_rows).withColumn("position", F.get("positions", F.lit(0)))
     spread = F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 30)) / (1 << 30))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", spread.alias("spread"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions", spread.alias("spread"))
     return out.repartitionByRange("spread", "doc_id").sortWithinPartitions("spread", "doc_id").drop("spread")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document stands once for each time the mix takes it (also in part), in curriculum order.
+    """Pipeline stage: each document stands once for each time the mix takes it (also in part), each at its own place of the curriculum.
 
     A document without words is no part of the mix, which counts words.
     """
-    mixed = mix(docs.select("doc_id", "text", "source")).filter("taken > 0")
-    take = mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), F.expr("CAST(ceil(taken / size) AS INT)").alias("copies"), "position")
-    take = take.groupBy("id", "of", "words").agg(F.max("copies").alias("copies"), F.min("position").alias("position"))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of")) & (F.col("n") == F.col("words"))
-    out = sized.join(take, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_no")), "mix-rows")
+    sized = keep(rows.select(*_sized(F.col("row.doc_id"), F.col("row.text"), F.col("row.source"), F.col("row_no"))), "mix-sizes")
+    takes = _placed(sized).select(F.col("row_no").alias("of_row"), F.explode("positions").alias("position"))
+    out = rows.join(takes, F.col("row_no") == F.col("of_row"))
     return out.repartitionByRange("position", "row.doc_id").sortWithinPartitions("position", "row.doc_id").select("row.*")

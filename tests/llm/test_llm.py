@@ -140,6 +140,29 @@ def test_mixing(spark, rows):
     assert staged.columns == docs(spark, rows).columns and {r.doc_id for r in staged.collect()} <= {r[0] for r in rows}
 
 
+def test_mixing_places_every_take(spark, rows):
+    rows = [(i, t, s) for i, t, s in rows if i != 1003] + [(2000 + i, "w " * (i % 7 + 1), "c") for i in range(40)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    names = sorted({r.source for r in got}, key=lambda s: (s is None, s or ""))
+    repeated = 0
+    for i, s in enumerate(names):
+        knots = mixing.SCHEDULES[i % 3]
+        mine = [r for r in got if r.source == s]
+        want = sum(r.taken for r in mine)
+        assert all(len(r.positions) == -(-r.taken // max(1, r["size"])) and r.position == (r.positions or [None])[0] for r in mine)
+        repeated += sum(len(r.positions) > 1 for r in mine)
+        before = 0
+        for at, last, r in sorted(((p, p == r.positions[-1], r) for r in mine for p in r.positions), key=lambda x: x[0]):
+            cut = [k for k in knots if k[0] < at]
+            part = [*cut, (at, np.interp(at, *zip(*knots)))] if cut else []
+            assert abs(float(mixing.integral(part)) / float(mixing.integral(knots)) * want - before) < 1e-6 * want
+            before += r.taken - r["size"] * (len(r.positions) - 1) if last else r["size"]
+        assert before == want
+    assert repeated > 20
+    staged = [r.doc_id for r in mixing.mixing_stage(spark, docs(spark, rows), "").collect()]
+    assert staged == [i for _, i in sorted(((p, r.doc_id) for r in got for p in r.positions), key=lambda x: (x[0], x[1] or 0))]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = ["the", "of", "house", "tree", "walk", "green", "you", "fine", "day"]
