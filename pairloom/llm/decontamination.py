@@ -1,14 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: q-gram counting by item, exact edit verification.
 
 Words (``\\w+`` of the lower-cased text) are the letters of the edit distance. An item of L words is leaked by a text that
-holds a stretch of words within floor((1 - similarity) * L) edits of it. For each repetition a shared random function walks
-over a window and, at step j, writes the word it stands on and moves on or not by a random bit of (j, word): edit distance
-becomes Hamming distance. ``samples`` coordinates of that embedding form a key; windows and items of one size that
-meet in a key in any repetition are compared exactly, by the best alignment of the item within the text around the window.
-Repetitions are set so that, at the largest allowed distance, the chance to miss is below 1 - ``recall``.
-
-A window is embedded only where it can be a leak at all: by the q-gram counting lemma a stretch within d edits of an
-item of L words keeps at least L - 1 - 2d word pairs of the items of that size. This drops no leak within the threshold.
+holds a stretch of words within d = floor((1 - similarity) * L) edits of it. By the q-gram counting lemma such a stretch, of
+at most L + d words, keeps at least L - 1 - 2d of the item's word pairs, whatever the edits are. Wherever so many pairs of
+one item stand close enough together, the item is compared exactly, by its best alignment within the text around them; so
+no leak within the threshold is missed. Items for which the lemma asks for no pair are compared with whole texts.
 
 Edge cases: a null or wordless text leaks nothing; items with fewer than ``min_words`` words (null and empty ones too)
 cannot be told from ordinary prose and take no part; equal items are reported each by its id; repeated rows give repeated
@@ -17,7 +13,6 @@ rows; empty tables give empty results. The benchmark is sent out in chunks of bo
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from itertools import chain, repeat
@@ -31,6 +26,7 @@ from .common import table
 
 HITS = "array<struct<item_id:long,first_word:int,distance:int>>"
 CHUNK_WORDS = 2_000_000
+MOST_PLACES = 4_000_000  # of pairs of items in texts that are searched together
 _word = re.compile(r"\w+")
 _indexes: dict[str, "Index"] = {}
 
@@ -61,60 +57,26 @@ def best_alignment(item: tuple, region: list) -> tuple[int, int]:
 
 
 class Index:
-    """Items of one chunk by size, with their LSH keys."""
+    """Items of one chunk, and those that hold each word pair."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, min_words: int = 5, samples: int = 3, recall: float = 0.98, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, min_words: int = 5):
         self.items = [(i, tuple(words(t))) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w) >= min_words]
         self.code = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
         self.size = len(self.code) + 1  # words of no item share the last code
+        length = np.array([len(w) for _, w in self.items], np.int64)
+        self.edits = ((1 - similarity) * length + 1e-9).astype(np.int64)
+        self.need, self.reach = length - 1 - 2 * self.edits, length - 1 + self.edits  # pairs to be kept, places they can stand on
         coded = [np.array([self.code[w] for w in ws], np.int64) for _, ws in self.items]
-        self.pairs = np.unique(np.concatenate([c[:-1] * self.size + c[1:] for c in coded])) if coded else np.zeros(0, np.int64)
-        self.edits = {n: int((1 - similarity) * n + 1e-9) for n in {len(c) for c in coded}}
-        # a walk that meets an edit is out of step for some coordinates; twice the edit rate stands for the Hamming rate
-        self.repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(0.02, 1 - 2 * (1 - similarity)) ** samples)))
-        self.samples, rng = samples, np.random.default_rng(seed)
-        longest = max(self.edits, default=1)
-        self.bits = rng.integers(0, 2, (self.repetitions, 2 * longest, 64)).astype(np.int64)
-        self.of_word = rng.integers(0, 64, self.size)  # the random function of (step, word), by 64 word classes
-        self.steps = {n: np.sort(rng.integers(0, 2 * n, (self.repetitions, samples)), 1) for n in sorted(self.edits)}
-        self.buckets: dict[tuple, list[int]] = {}
-        self.pairs_of: dict[int, np.ndarray] = {}
-        for n in self.steps:
-            own = [k for k, c in enumerate(coded) if len(c) == n]
-            text = np.concatenate([coded[k] for k in own])
-            starts = np.arange(len(own)) * n
-            stamps = self.embed(text, starts, starts + n, n)
-            for r in range(self.repetitions):
-                for k, key in zip(own, map(tuple, stamps[r].tolist())):
-                    self.buckets.setdefault((n, r, *key), []).append(k)
-            pairs = np.concatenate([coded[k][:-1] * self.size + coded[k][1:] for k in own])
-            self.pairs_of[n] = np.isin(self.pairs, pairs)
+        own = [np.unique(c[:-1] * self.size + c[1:]) if need > 0 else c[:0] for c, need in zip(coded, self.need)]
+        pairs, holder = np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(np.arange(len(own)), [len(p) for p in own])
+        order = np.argsort(pairs, kind="stable")
+        self.holders = holder[order]
+        self.pairs, first = np.unique(pairs[order], return_index=True)
+        self.first = np.r_[first, len(pairs)]
+        self.anywhere = np.flatnonzero(self.need <= 0).tolist()
         self.verified: dict[tuple, tuple[int, int]] = {}
 
-    def embed(self, text: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
-        """The sampled coordinates, by repetition and window, of the embedded windows text[start : stop]; -1 past the end."""
-        at = np.repeat(starts[None, :], self.repetitions, 0)
-        trace = np.full((2 * n, *at.shape), -1, np.int64)
-        rows, final = np.arange(self.repetitions)[:, None], len(text) - 1
-        for j in range(2 * n):
-            inside = at < stops
-            word = text[np.minimum(at, final)]
-            trace[j] = np.where(inside, word, -1)
-            at = at + inside * self.bits[rows, j, self.of_word[word]]
-        return np.stack([trace[self.steps[n][:, i], rows[:, 0]] for i in range(self.samples)], 2)
-
-    def starts(self, places: np.ndarray, n: int) -> np.ndarray:
-        """Window starts that a leak of n words can have; places: where a pair of an item of n words stands, in order."""
-        need, reach = max(1, n - 1 - 2 * self.edits[n]), n - 1 + self.edits[n]
-        if len(places) < need:
-            return places[:0]
-        first, final = places[: len(places) - need + 1], places[need - 1 :]
-        ok = final - first < reach
-        first, final = first[ok], final[ok]
-        lo, hi = np.maximum(0, final - reach + 1), first
-        return np.unique(np.repeat(lo - np.r_[0, np.cumsum(hi - lo + 1)[:-1]], hi - lo + 1) + np.arange((hi - lo + 1).sum())) if len(lo) else lo
-
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         found: list[list[dict]] = []
         for i in range(0, len(texts), 512):
@@ -132,41 +94,44 @@ class Index:
         key[(codes[:-1] == other) | (codes[1:] == other)] = -1
         key[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < ends[-1])] - 1] = -1
         known = np.flatnonzero(key >= 0)
-        at = np.minimum(np.searchsorted(self.pairs, key[known]), len(self.pairs) - 1)
-        known, at = known[hit := self.pairs[at] == key[known]], at[hit]
-        candidates: dict[tuple[int, int], list[int]] = {}
-        for n, own in self.pairs_of.items():
-            starts = self.starts(known[own[at]], n)
-            for c in range(0, len(starts), 4096):
-                part = starts[c : c + 4096]
-                doc = np.searchsorted(ends, part, "right")
-                stamps = self.embed(codes, part, np.minimum(part + n, ends[doc]), n)
-                for r in range(self.repetitions):
-                    for s, d, k in zip(part.tolist(), doc.tolist(), map(tuple, stamps[r].tolist())):
-                        for item in self.buckets.get((n, r, *k), ()):
-                            candidates.setdefault((d, item), []).append(s)
-        for (d, item), starts in sorted(candidates.items()):
-            base = int(ends[d]) - len(docs[d])
-            best = self.verify(item, sorted({s - base for s in starts}), docs[d])
+        at = np.searchsorted(self.pairs, key[known])
+        hit = self.pairs[np.minimum(at, len(self.pairs) - 1)] == key[known] if len(self.pairs) else np.zeros(len(known), bool)
+        known, at = known[hit], at[hit]
+        held = self.first[at + 1] - self.first[at]
+        if held.sum() > MOST_PLACES and len(docs) > 1:
+            half = len(docs) // 2
+            return self._search(docs[:half]) + self._search(docs[half:])
+        spread = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        item, place = self.holders[np.repeat(self.first[at], held) + spread], np.repeat(known, held)
+        order = np.argsort(item, kind="stable")  # by item, then place
+        item, place = item[order], place[order]
+        doc = np.searchsorted(ends, place, "right")
+        final = np.arange(len(item)) + self.need[item] - 1
+        ok = final < len(item)
+        begin, final = np.flatnonzero(ok), final[ok]
+        ok = (item[final] == item[begin]) & (doc[final] == doc[begin]) & (place[final] - place[begin] < self.reach[item[begin]])
+        begin, final = begin[ok], final[ok]
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {(d, k): [(0, len(ws))] for d, ws in enumerate(docs) if ws for k in self.anywhere}
+        base = np.r_[0, ends[:-1]][doc[begin]]
+        lo = np.maximum(0, place[final] - self.reach[item[begin]] + 1 - base)
+        hi = np.minimum(place[begin] + self.reach[item[begin]] + 1, ends[doc[begin]]) - base
+        for d, k, a, b in zip(doc[begin].tolist(), item[begin].tolist(), lo.tolist(), hi.tolist()):
+            spans.setdefault((d, k), []).append((a, b))
+        for (d, k), own in sorted(spans.items()):
+            best = self.verify(k, own, docs[d])
             if best is not None:
-                found[d].append({"item_id": self.items[item][0], "first_word": best[1], "distance": best[0]})
+                found[d].append({"item_id": self.items[k][0], "first_word": best[1], "distance": best[0]})
         return found
 
-    def verify(self, item: int, starts: list[int], ws: list[str]) -> tuple[int, int] | None:
-        item_id, own = self.items[item]
-        n, d_max = len(own), self.edits[len(self.items[item][1])]
+    def verify(self, item: int, spans: list[tuple[int, int]], ws: list[str]) -> tuple[int, int] | None:
+        own, d_max = self.items[item][1], int(self.edits[item])
         best = None
-        lo = hi = None
-        regions = []
-        for s in starts:  # windows that overlap are aligned together
-            a, b = max(0, s - d_max), min(len(ws), s + n + 2 * d_max)
-            if lo is not None and a <= hi and b - lo <= 8 * n:
-                hi = max(hi, b)
+        regions: list[tuple[int, int]] = []
+        for a, b in spans:  # those that overlap are aligned together
+            if regions and a <= regions[-1][1] and b - regions[-1][0] <= 8 * len(own):
+                regions[-1] = (regions[-1][0], max(b, regions[-1][1]))
             else:
-                if lo is not None:
-                    regions.append((lo, hi))
-                lo, hi = a, b
-        regions.append((lo, hi))
+                regions.append((a, b))
         for a, b in regions:
             key = (item, tuple(ws[a:b]))
             if key not in self.verified:

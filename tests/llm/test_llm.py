@@ -240,6 +240,31 @@ def test_decontamination(spark):
     assert {r.doc_id for r in stay.collect()} == {d for d, _, _ in data} - {d for d, _ in got} and stay.columns == docs(spark, data).columns
 
 
+def test_decontamination_finds_every_kind_of_edit():
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range((5, 12, 20, 40, 58, 80)[i % 6]))) for i in range(36)]
+    texts, truth = [], set()
+    for i, t in items:
+        for kind in ("delete", "insert", "substitute", "mixed"):
+            for _ in range(3):
+                own = t.split()
+                at = sorted(rng.sample(range(len(own)), len(own) // 5), reverse=True)
+                for k in at:
+                    edit = rng.choice(["delete", "insert", "substitute"]) if kind == "mixed" else kind
+                    own[k : k + (edit != "insert")] = [] if edit == "delete" else ["other"]
+                truth.add((len(texts), i))
+                texts.append(" ".join([word() for _ in range(rng.randrange(30))] + own + [word() for _ in range(rng.randrange(30))]))
+    texts += [None, "", "w1", *(" ".join(word() for _ in range(60)) for _ in range(20))]
+    got = {(d, h["item_id"]): h["distance"] for d, hs in enumerate(decontamination.Index(items).search(texts)) for h in hs}
+    assert truth <= set(got)
+    some, loose = items[:6], decontamination.Index(items[:6], similarity=0.4)
+    for index, similarity in ((decontamination.Index(some), 0.8), (loose, 0.4)):
+        got = {(d, h["item_id"]): h["distance"] for d, hs in enumerate(index.search(texts[:100:3])) for h in hs}
+        best = {(d, i): decontamination.best_alignment(tuple(t.split()), decontamination.words(x))[0] for d, x in enumerate(texts[:100:3]) for i, t in some}
+        assert got == {k: v for k, v in best.items() if v <= int((1 - similarity) * len(dict(items)[k[1]].split()) + 1e-9)}
+
+
 def test_alignment_by_brute_force():
     rng = random.Random(7)
 
