@@ -196,6 +196,13 @@ def decode_by_join(spark, sf_dir):
     return decode_join(encoded, tokenizer, "item_id").select("item_id", F.decode("decoded", "UTF-8").alias("text"))
 
 
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def decode_documents_by_join(spark, sf_dir):
+    tokenizer = _tokenizer(spark, sf_dir)
+    encoded = docs(spark, sf_dir, "doc_id", "text").filter("text is not null").select("doc_id", encoder(spark, tokenizer)(F.col("text")).alias("token_ids"))
+    return decode_join(encoded, tokenizer, "doc_id").select("doc_id", F.decode("decoded", "UTF-8").alias("text"))
+
+
 @query("SELECT doc_id, octet_length(encode(text)) AS decoded_bytes, upper(sha256(text)) AS decoded_sha256 FROM documents WHERE text IS NOT NULL")
 def doc_evidence(spark, sf_dir):
     tokenizer = _tokenizer(spark, sf_dir)
@@ -309,9 +316,8 @@ def pack_offsets(spark, sf_dir):
 @query()
 def pack_windows(spark, sf_dir):
     encode = encoder(spark, _tokenizer(spark, sf_dir))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text <> ''")
-    encoded, _ = written(items.select("item_id", encode(F.col("text")).alias("token_ids")), "encoded")
-    return packing.pack(encoded, "item_id")
+    encoded, _ = written(docs(spark, sf_dir, "doc_id", "text").filter("text <> ''").select("doc_id", encode(F.col("text")).alias("token_ids")), "encoded")
+    return packing.pack(encoded, "doc_id")
 
 
 SCAN_PATHS = ("a/x_annotated.md", "a/Scripture of y.txt", "a/z.json", "b/wikitext/q.txt", "b/wikitext_extracted/q.txt", "c/plain.txt", "c/blu.txt")

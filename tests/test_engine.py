@@ -289,6 +289,22 @@ def test_sql_functions_and_packing(spark):
     assert packing.calibrate({"a": 10, "b": 20}, {"a": 5000, "b": 5000}) == {"a": 2000, "b": 1000}
 
 
+def test_documents_are_packed_and_decoded_by_join(spark, tmp_path):
+    from pairloom.plans import queries
+
+    texts = [None, "", *(f"{'some words of a document ' * (i * 7 % 23)}é{i}" for i in range(40))]
+    spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = queries._tokenizer(spark, str(tmp_path))
+    coder, stream = Coder(tokenizer), []
+    for t in texts:
+        stream += [*coder.encode(t.encode()), packing.EOS] if t else []
+    windows = [stream[i : i + 256] for i in range(0, len(stream), 256)]
+    expected = {i: [*w, *[0] * (256 - len(w))] for i, w in enumerate(windows) if len(w) >= 64}
+    assert len(windows) > 20 and {r.window_no: list(r.row) for r in queries.QUERIES["pack_windows"](spark, str(tmp_path)).collect()} == expected
+    back = {r.doc_id: r.text for r in queries.QUERIES["decode_documents_by_join"](spark, str(tmp_path)).collect()}
+    assert back == {i: t for i, t in enumerate(texts) if t is not None}
+
+
 def test_streaming(spark, tmp_path):
     from pairloom.streaming.encode import encode_stream
 
