@@ -8,8 +8,10 @@ id) whose crc32(id as text) mod 5 is not 0: features that the trees learn from u
 the calibration uses predictions of trees that have not seen the row. Every row is then scored by its text alone.
 
 Edge cases: null and empty texts get a score from zero features; labels without a toxic flag are left out, several labels
-of a document count as toxic if one is; a null id hashes as the empty text; without labels of both kinds every score is the
-share of toxic labels (0 if there are none); repeated rows are scored each; an empty table gives an empty result.
+of a document count as toxic if one is; a null id hashes as the empty text; with fewer than ``MIN_KIND`` (20) toxic or clean
+rows in the fit sample nothing is fitted: every score is the sample's share of toxic rows (0 if it is empty), so below a share
+of 0.5 nothing is predicted toxic. The sample is not drawn by class, so a large corpus with under about 0.1 % toxic labels
+falls under this too; repeated rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, keep, table
 
 SAMPLE_ROWS = 20_000
+MIN_KIND = 20
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 NEAR = 5
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     for r in rows:
         n_toxic[r.fold], n_all[r.fold] = r.toxic, r.n
     n_clean = n_all - n_toxic
-    if min(n_toxic.sum(), n_clean.sum()) < 20:
+    if min(n_toxic.sum(), n_clean.sum()) < MIN_KIND:
         discard(spark, sample)
         return Model({}, None, None, float(n_toxic.sum() / n_all.sum()) if n_all.sum() else 0.0)
     total = sum((F.col(f"n{k}") for k in range(FOLDS)), F.lit(0))

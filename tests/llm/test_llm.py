@@ -189,6 +189,14 @@ def test_toxicity(spark):
     assert (np.diff(knots[1]) >= 0).all()
 
 
+def test_toxicity_limit_of_fitting(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    data = docs(spark, [(i, f"house tree {'badword' if i in ids[:20] else 'walk'} {i}", "a") for i in ids])
+    for toxic, fitted in ((toxicity.MIN_KIND - 1, False), (toxicity.MIN_KIND, True)):
+        model = toxicity.fit(data, spark.createDataFrame([(i, int(i in ids[:toxic])) for i in ids], "doc_id long, toxic int"))
+        assert (model.trees is not None) == fitted and (model.score(["a badword"])[0] == toxic / len(ids)) != fitted
+
+
 def test_token_counts(spark, rows):
     from tokenizers import Tokenizer, models, normalizers
 
