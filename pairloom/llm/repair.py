@@ -1,14 +1,16 @@
 """Re-Pair grammar compression of token-id streams, and the block file that holds it.
 
-``compress`` repeats rounds until no pair comes ``min_count`` times or the symbols run out: count adjacent pairs exactly, give
-those at least a quarter as frequent as the most frequent one nonterminals, replace them, of overlapping ones the more frequent.
-A pair never spans the end of a document, so each document owns a run of symbols and can be decoded alone. ``rules``
-holds the two symbols of each nonterminal (smaller symbols only) and ``expansion`` the number of ids each one stands for,
-which lets ``Block.ids`` skip to a position without decoding what stands before it.
-
-Block file (little-endian): magic ``RPB1``; u32 terminals, rules, documents, symbols, symbol width; u64 ids; rules u32[2];
-expansion u32; document ids i64; document id present u8; first symbol u32, first id u64 per document and one past the end;
-symbols u16 or u32.
+``compress`` repeats rounds until no pair comes ``min_count`` times: count adjacent pairs exactly, give those at least an
+eighth as frequent as the most frequent one nonterminals, replace them, of overlapping ones the more frequent. Counts of a
+pair only fall unless a neighbour is replaced, so a round looks only at places whose pair may still be frequent. A pair never spans the end of a document, so each document owns a run of
+symbols and can be decoded alone. ``rules`` holds the two symbols of each nonterminal (smaller symbols only) and ``expansion``
+the number of ids each one stands for, which lets ``Block.ids`` skip to a position without decoding what stands before it.
+A rule takes about 7 bytes and each use of it saves about 2, so from ``MIN_COUNT`` uses on it pays.
+
+Block file (little-endian): magic ``RPB2``; u32 terminals, rules, documents, symbols, bit planes; u64 ids; rules' symbols, both
+in a row, as wide numbers; expansion as u32; document ids i64; document id present u8; first symbol u32, first id u64 per
+document and one past the end; symbols as wide numbers. Wide numbers: u16 of the low bits, then one packed bit plane for
+each further bit that the largest symbol needs.
 """
 
 from __future__ import annotations
@@ -17,22 +19,30 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPB1"
+MAGIC = b"RPB2"
 HEAD = struct.Struct("<4sIIIIIQ")
-SHARE = 4  # a round takes the pairs with at least 1 / SHARE of the highest count
+SHARE = 8  # a round takes the pairs with at least 1 / SHARE of the highest count
+MIN_COUNT = 8
+SIEVE_BITS = 20
 
 
-def _every_second(at: np.ndarray) -> np.ndarray:
+def _every_second(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which of the ascending places are second, fourth and so on in a row of neighbours."""
-    run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
     return (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 1
 
 
-def _apart(at: np.ndarray, level: np.ndarray) -> np.ndarray:
+def _apart(at: np.ndarray, after: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Which of the ascending places to replace: no two neighbours, the lower level first, and none that could still be."""
-    kept, left = np.zeros(len(at), bool), np.arange(len(at))
+    kept = np.zeros(len(at), bool)
+    near = after[at[:-1]] == at[1:]
+    alone = np.ones(len(at), bool)
+    alone[1:] &= ~near
+    alone[:-1] &= ~near
+    kept[alone] = True
+    left = np.flatnonzero(~alone)
     while len(left):
-        near, below = np.diff(at[left]) == 1, np.diff(level[left]) > 0
+        near, below = after[at[left[:-1]]] == at[left[1:]], np.diff(level[left]) > 0
         win = np.ones(len(left), bool)
         win[1:] &= ~(near & below)
         win[:-1] &= ~near | below
@@ -44,44 +54,52 @@ def _apart(at: np.ndarray, level: np.ndarray) -> np.ndarray:
     return kept
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None, min_count: int = 8):
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None, min_count: int = MIN_COUNT):
     """ids: uint32; ends: index past each document's last id. Returns symbols, past-the-end symbol of each document, rules."""
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    stops = np.asarray(ends, np.int64)
-    last[stops[stops > 0] - 1] = True
-    room = max(0, 65536 - terminals) if terminals < 65536 else 1 << 16
-    word, bits, mix = (np.uint32, 16, 0x9E3779B1) if terminals + room <= 65536 else (np.uint64, 32, 0x9E3779B97F4A7C15)
-    slot = lambda key: (key * word(mix)) >> word(2 * bits - 20)
+    seq, stops = ids.astype(np.uint32), np.asarray(ends, np.int64)
+    place = np.int32 if len(seq) < 1 << 31 else np.int64
+    after, before = np.arange(1, len(seq) + 1, dtype=place), np.arange(-1, len(seq) - 1, dtype=place)  # -1: none in the document
+    full = stops[np.diff(np.r_[0, stops]) > 0]
+    after[full - 1], before[np.r_[0, full[:-1]][: len(full)]] = -1, -1
+    there, live = np.ones(len(seq), bool), after >= 0  # live: the pair that begins here may be frequent
     rules: list[np.ndarray] = []
     known = done = 0
-    while len(seq) > 1 and known < room and (rounds is None or done < rounds):
+    while rounds is None or done < rounds:
         done += 1
-        key = (seq[:-1].astype(word) << word(bits)) | seq[1:]
-        free = ~last[:-1]
-        second = np.zeros(len(key), bool)  # in a run of one symbol every second pair overlaps the one before
-        equal = np.flatnonzero((seq[:-1] == seq[1:]) & free)
-        second[equal[_every_second(equal)]] = True
-        ordered = np.sort(key[free & ~second])
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        at = np.flatnonzero(live)
+        if not len(at):
+            break
+        word, bits, mix = (np.uint32, 16, 0x9E3779B1) if terminals + known <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        slot = lambda key: (key * word(mix)) >> word(2 * bits - SIEVE_BITS)
+        left, right = seq[at], seq[after[at]]
+        key = (left.astype(word) << word(bits)) | right
+        second = np.zeros(len(at), bool)  # in a run of one symbol every second pair overlaps the one before
+        equal = np.flatnonzero(left == right)
+        second[equal[_every_second(at[equal], after)]] = True
+        ordered = np.sort(key[~second] if len(equal) else key)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[first, len(ordered)])
-        top = int(count.max(initial=0))
+        top = int(count.max())
         if top < min_count:
             break
-        often = np.flatnonzero(count >= max(min_count, top / SHARE))
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[: room - known]])
-        pair, count = ordered[first[often]], count[often]
-        wanted = np.zeros(1 << 20, bool)  # a sieve only; pairs are told apart by their keys
-        wanted[slot(pair)] = True
-        at = np.flatnonzero(wanted[slot(key)] & free)
-        which = np.minimum(np.searchsorted(pair, key[at]), len(pair) - 1)
-        hit = pair[which] == key[at]
-        at, which = at[hit], which[hit]
+        first, count = first[count >= min_count], count[count >= min_count]
+        sieve = np.zeros(1 << SIEVE_BITS, np.uint8)  # a sieve only; pairs are told apart by their keys
+        sieve[slot(ordered[first])] = 1
+        first, count = first[count * SHARE >= top], count[count * SHARE >= top]
+        pair = ordered[first]
+        sieve[slot(pair)] = 2
+        found = sieve[slot(key)]
+        live[at[found == 0]] = False  # rarer, until a neighbour changes
+        own = np.flatnonzero(found == 2)
+        own_key = key[own]
+        which = np.minimum(np.searchsorted(pair, own_key), len(pair) - 1)
+        hit = pair[which] == own_key
+        at, which, second = at[own[hit]], which[hit], second[own[hit]]
         rank = np.zeros(len(pair), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(pair))
-        level = 2 * rank[which] + second[at]
+        level = 2 * rank[which] + second
         while True:  # without the pairs that others leave too rare; the most frequent one always stays
-            kept = _apart(at, level)
+            kept = _apart(at, after, level)
             uses = np.bincount(which[kept], minlength=len(pair))
             stays = (uses >= min_count)[which]
             if stays.all():
@@ -90,21 +108,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
         chosen = np.flatnonzero(uses)
         symbol = np.zeros(len(pair), np.uint32)
         symbol[chosen] = terminals + known + np.arange(len(chosen), dtype=np.uint32)
-        at = at[kept]
-        seq[at] = symbol[which[kept]]
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-        made = pair[chosen].astype(np.uint64)
-        rules.append(np.stack([made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)], 1).astype(np.uint32))
+        at, which = at[kept], which[kept]
+        gone = after[at]
+        then = after[gone]
+        seq[at], after[at] = symbol[which], then
+        there[gone] = live[gone] = False
+        live[at] = then >= 0
+        before[then[then >= 0]] = at[then >= 0]
+        behind = before[at]
+        live[behind[behind >= 0]] = True
+        made = pair[chosen]
+        rules.append(np.stack([made >> word(bits), made & word((1 << bits) - 1)], 1).astype(np.uint32))
         known += len(chosen)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    ended = np.flatnonzero(last) + 1
-    out = np.zeros(len(stops), np.int64)
-    before = np.r_[0, stops[:-1]]
-    out[stops > before] = ended
-    return seq, np.maximum.accumulate(out) if len(out) else out, made
+    return seq[there], np.r_[0, np.cumsum(there)][stops], made
 
 
 def expansions(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -120,18 +137,23 @@ def expansions(rules: np.ndarray, terminals: int) -> np.ndarray:
     return size[terminals:]
 
 
+def _wide(numbers: np.ndarray, planes: int) -> bytes:
+    low = (numbers & 0xFFFF).astype("<u2").tobytes()
+    return low + b"".join(np.packbits((numbers >> (16 + i) & 1).astype(bool), bitorder="little").tobytes() for i in range(planes))
+
+
 def pack(doc_ids, ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None) -> bytes:
     """doc_ids: ints or None."""
     seq, stops, rules = compress(ids, ends, terminals, rounds)
-    width = 2 if terminals + len(rules) <= 65536 else 4
-    head = HEAD.pack(MAGIC, terminals, len(rules), len(ends), len(seq), width, len(ids))
-    parts = [rules.astype("<u4"), expansions(rules, terminals).astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.r_[0, stops].astype("<u4"), np.r_[0, ends].astype("<u8"), seq.astype(f"<u{width}")]
-    return head + b"".join(p.tobytes() for p in parts)
+    planes = max(0, (terminals + len(rules) - 1).bit_length() - 16)
+    head = HEAD.pack(MAGIC, terminals, len(rules), len(ends), len(seq), planes, len(ids))
+    parts = [expansions(rules, terminals).astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.r_[0, stops].astype("<u4"), np.r_[0, ends].astype("<u8")]
+    return head + _wide(rules.reshape(-1), planes) + b"".join(p.tobytes() for p in parts) + _wide(seq, planes)
 
 
 class Block:
     def __init__(self, data: bytes):
-        magic, self.terminals, n_rules, self.n_docs, n_symbols, width, self.n_ids = HEAD.unpack_from(data)
+        magic, self.terminals, n_rules, self.n_docs, n_symbols, planes, self.n_ids = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a Re-Pair block")
         at = HEAD.size
@@ -142,11 +164,17 @@ class Block:
             at += out.nbytes
             return out
 
-        self.rules, self.expansion = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        def wide(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.uint32)
+            for i in range(planes):
+                out |= np.unpackbits(take("u1", -(-n // 8)), count=n, bitorder="little").astype(np.uint32) << np.uint32(16 + i)
+            return out
+
+        self.rules, self.expansion = wide(2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         doc_ids, present = take("<i8", self.n_docs), take("u1", self.n_docs)
         self.doc_ids = [int(d) if p else None for d, p in zip(doc_ids, present)]
         self.first_symbol, self.first_id = take("<u4", self.n_docs + 1), take("<u8", self.n_docs + 1)
-        self.symbols = take(f"<u{width}", n_symbols)
+        self.symbols = wide(n_symbols)
         if at != len(data):
             raise ValueError("a Re-Pair block of another length than its header says")
         size = self.expansion.astype(np.int64)

@@ -198,5 +198,8 @@ def op10_token_output(spark, sf_dir: str) -> DataFrame:
 
 
 def output_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: token blocks of what the stages before have kept, in id order; repeated rows are repeated."""
+    """Last pipeline stage: token blocks of what the stages before have kept, in id order.
+
+    A null text is empty; repeated rows are repeated; other columns are left out; no documents give no row.
+    """
     return encode_documents(docs.select("doc_id", "text"))
