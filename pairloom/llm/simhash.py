@@ -193,10 +193,11 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
+        """total: edges, at least as many as there are."""
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        linked = both.join(least, both.a == least.u).select("a", "b", "m")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m"))
+        linked = spread_join(both, least, "a", total, F.col("b"))  # the root of a large component stands in all its edges
         if large:
             moved = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -210,7 +211,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if not row.n or (row.n, row.x) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = (row.n, row.x)
-        after = keep(star(star(now, True), False), tag)
+        after = keep(star(star(now, True, 2 * row.n), False, row.n), tag)
         discard(spark, now)
         now = after
 
@@ -222,8 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(hamming_stars(fps.select("fp"), radius, group_rows))
     member = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     named = member.join(fps, member.node == fps.fp).select("node", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    group = named.join(least, "root").select(F.col("node").alias("fp"), "least")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    group = spread_join(named, least, "root", linked.count(), F.col("node")).select(F.col("node").alias("fp"), "least")
     whole = keep(fps.join(group, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "fp-groups")
     total = whole.agg(F.sum("n")).first()[0] or 0
     return spread_join(printed, whole, "fp", total, F.col(id_col)).select(id_col, "fp", "component_id")
@@ -235,7 +236,11 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each group stays. Rows without an id stay."""
+    """Pipeline stage: the document with the smallest id of each group stays.
+
+    Rows without an id stay; of several rows with the id that stays one does; null and wordless texts are a group; other columns
+    pass unchanged; no documents give none.
+    """
     found = keep(near_duplicates(docs.select("doc_id", "text")), "groups")
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     counts = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
