@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_made: list[str] = []  # folders made here and not deleted yet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); on a local master a temporary one where it is unset."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None or not os.path.isdir(_own_dir.removeprefix("file://")):
         _own_dir = "file://" + tempfile.mkdtemp(prefix="pairloom-")
     return _own_dir
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -45,11 +52,28 @@ def discard(spark: SparkSession, df_or_path) -> None:
     """Delete a table written by :func:`keep` once nothing reads it any more."""
     path = getattr(df_or_path, "_kept_at", df_or_path)
     if isinstance(path, str):
+        if path in _made:
+            _made.remove(path)
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The result of ``make``, written; tables and files that it made on the way are deleted."""
+    before = set(_made)
+    out = keep(make(), tag)
+    for path in [p for p in _made if p not in before and p != out._kept_at]:
+        discard(spark, path)
+    return out
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table and file that operators have made and not deleted; results not yet written are lost."""
+    for path in list(_made):
+        discard(spark, path)
+
+
 HEAVY = 4096
 
 
