@@ -10,8 +10,9 @@ Captures with equal payloads of at least ``min_payload`` bytes: the one with the
 are revisits that name its key and hold no payload; what a revisit's payload is comes from a lookup of that key.
 
 Edge cases: a null payload is empty; a null number is the smallest, and a group with null numbers only is all responses; a null
-URL has the key of the empty URL; repeated rows of the largest number are responses each; an empty table writes no
-shard and gives no row; other columns are ignored.
+URL has the key of the empty URL; keys of over ``KEY_CHARS`` characters end in a digest instead, and a revisit of a URL of over
+``URL_BYTES`` does not repeat it, so that what is known of a response is of bounded size; repeated rows of the largest number
+are responses each; an empty table writes no shard and gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .common import fresh_path, keep, open_store, spread_join, table
 
 TAIL = struct.Struct("<QQ4s")
 MAGIC = b"CDX2"
+KEY_CHARS, URL_BYTES, READ_TASKS = 2048, 8192, 100_000
 _url = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/:?#]*)(:\d+)?(.*)$", re.S)
 
 
@@ -41,7 +43,8 @@ def url_key(url: Column) -> Column:
     url = F.lower(F.coalesce(url, F.lit("")))
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
     rest = F.regexp_replace(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]*(?::\d+)?", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    return F.when(F.length(key) > KEY_CHARS, F.concat(F.substring(key, 1, KEY_CHARS), F.lit("~"), F.sha1(key.cast("binary")))).otherwise(key)
 
 
 def sortable(number: Column) -> Column:
@@ -58,7 +61,9 @@ def record(url: str, number: int | None, kind: str, digest: str, refers_to: int
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Capture-Number: {'' if number is None else number}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {(refers_url or '').replace(chr(13), '%0D').replace(chr(10), '%0A').replace(' ', '%20')}", f"X-Refers-To-Number: {refers_to}", f"X-Refers-To-Key: {json.dumps(refers_key)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Number: {refers_to}", f"X-Refers-To-Key: {json.dumps(refers_key)}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {refers_url.replace(chr(13), '%0D').replace(chr(10), '%0A').replace(' ', '%20')}")
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = head + (payload if kind == "response" else b"")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -183,10 +188,9 @@ def write_archives(pages: DataFrame, min_payload: int = 0, block_entries: int =
     store.create_dir(root, recursive=True)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("number"), F.col(url_col).alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"), F.concat(url_key(F.col(url_col)), F.lit(" "), sortable(F.col(id_col))).alias("key"))
-    same = rows.filter(F.octet_length("payload") >= min_payload).groupBy(F.col("sha1").alias("_sha1")).agg(F.max(F.struct("number", "key", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1 and first.number is not null")
+    same = rows.filter(F.octet_length("payload") >= min_payload).groupBy(F.col("sha1").alias("_sha1")).agg(F.max(F.struct("number", "key", F.when(F.octet_length("url") <= URL_BYTES, F.col("url")).alias("url"))).alias("first"), F.count("*").alias("n")).filter("n > 1 and first.number is not null")
     same = keep(same.select(F.col("_sha1").alias("sha1"), "n", "first"), "warc-payloads")
-    short = F.coalesce(F.octet_length("first.url"), F.lit(0)) <= 8192
-    rows = spread_join(rows, same, "sha1", pages.count(), F.col("number"), short).withColumn("revisit", F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
+    rows = spread_join(rows, same, "sha1", pages.count(), F.col("number")).withColumn("revisit", F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first.number")))
     rows = rows.select("key", "number", "url", "sha1", "revisit", F.when(F.col("revisit"), F.col("first.number")).alias("to"), F.when(F.col("revisit"), F.col("first.url")).alias("to_url"), F.when(F.col("revisit"), F.col("first.key")).alias("to_key"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
 
     def write(batches):
@@ -209,12 +213,16 @@ def key_text(url: str | None, number: int | None) -> str:
     """The index key of a capture, as the DataFrame expressions above make it."""
     found = _url.match((url or "").lower())
     host, rest = (found[2], found[4]) if found else ("", (url or "").lower())
-    return f"{','.join(reversed(host.split('.')))}){rest} " + ("-" if number is None else f"{(number + (1 << 63)):016X}")
+    key = f"{','.join(reversed(host.split('.')))}){rest}"
+    if len(key) > KEY_CHARS:
+        key = f"{key[:KEY_CHARS]}~{hashlib.sha1(key.encode('utf-8', 'surrogatepass')).hexdigest()}"
+    return f"{key} " + ("-" if number is None else f"{(number + (1 << 63)):016X}")
 
 
 def read_archives(folder: str, shards: DataFrame, id_col: str = "page_id") -> DataFrame:
     """One row a record: number, payload bytes and digest of the whole payload, record type, the response it refers to."""
-    firsts = [(r.first, r.shard) for r in shards.select("first", "shard").collect()]  # a row for each write task
+    held = shards.select("first", "shard", "blocks").collect()  # a row for each write task
+    firsts, tasks = [(r.first, r.shard) for r in held], max(1, min(READ_TASKS, sum(r.blocks for r in held)))
 
     def read(batches):
         reader, sizes = Reader(folder, firsts), {}
@@ -243,9 +251,22 @@ def read_archives(folder: str, shards: DataFrame, id_col: str = "page_id") -> Da
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([(id_col, pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     blocks = shards.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    spread = blocks.repartition("shard", "block")
+    spread = blocks.repartition(tasks, "shard", "block")  # a count of its own, else so few bytes are read in one task
     return spread.mapInArrow(read, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+#: payload_digest: the SHA-1 as 32 base32 digits, 5 bits of its hex digits each.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS s, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(s || '0', CAST((5 * i) // 4 + 1 AS INTEGER), 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NULL OR page_id = top THEN NULL ELSE top END AS refers_to
+FROM h
+"""
+
+
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(*write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
