@@ -2,13 +2,13 @@
 
 Each source has a weight schedule over training time 0..1, given as knots (time, weight) joined by lines. Its integral is
 the source's weight; the share of the whole demand follows from it, no source gets more than ``max_epochs`` times its size,
-and what a capped source leaves goes to the others by weight. A source's documents form a stream in hash order, run through
+and what a capped source leaves goes to the others by weight. A source's documents form a stream in the order of their ids' MD5, run through
 up to ``max_epochs`` times; the token at offset o of the stream is needed at the time when the source's cumulative demand
 (the schedule's integral) reaches o, so inverting that integral gives the training position. The takes of a document follow
 one another by the source's size in the stream, and each has a position of its own. Output is range-sorted by position: of
 each document's first take in ``mix``, of every take in ``mixing_stage``.
 
-Running sums are taken within (source, hash bucket) and joined to the buckets' offsets, so a hot source is spread.
+Running sums are taken within (source, leading bits of the MD5) and joined to the buckets' offsets, so a hot source is spread.
 
 Edge cases: a null text has size 0; a null source is a source of its own and ranks last; a source without words has
 target 0; a document whose source's stream ends within it is taken in part; documents not taken have a null position and
@@ -69,8 +69,9 @@ _schema = T.StructType([T.StructField("of_source", T.StringType())] + [T.StructF
 
 
 def _sized(doc_id, text, source, *others) -> list:
-    """Columns for :func:`_placed`; ``mark`` orders rows of one id and size."""
-    return [doc_id.alias("doc_id"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *others]
+    """Columns for :func:`_placed`; ``mark`` orders rows of one id and size, ``stream`` the ids of a source."""
+    stream = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return [doc_id.alias("doc_id"), F.substring(stream, 1, 16).alias("stream"), source.alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *others]
 
 
 def _placed(sized: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(3, 2), max_epochs: int = 2, bucket_rows: int = 1024) -> DataFrame:
@@ -85,11 +86,12 @@ def _placed(sized: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Frac
     if len(totals) <= MANY_SOURCES:
         plan = F.broadcast(plan)
 
-    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    lead = F.conv(F.substring("stream", 1, 4), 16, 10).cast("int")  # 0 to 65,535
+    keyed = sized.withColumn("bucket", F.floor(lead * buckets / (1 << 16)).cast("int"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("offset"))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("stream", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     run = run.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
     run = run.withColumn("start", F.col("before") + F.col("offset")).join(plan, F.col("source").eqNullSafe(F.col("of_source")))
@@ -118,13 +120,34 @@ def mix(docs: DataFrame, schedules=SCHEDULES, demand_ratio: Fraction = Fraction(
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("takes"))
+
+
+#: Targets: with sources ranked by size / weight, the first c of them stop at 2 sizes; c is the least that leaves none above.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS stream FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS own, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS w FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY CAST(own AS DOUBLE) / w, source NULLS LAST) AS k, CAST(sum(own) OVER () AS BIGINT) AS total FROM s),
+c AS (SELECT x.k - 1 AS capped, any_value(x.total) AS total, CAST(coalesce(sum(y.own) FILTER (y.k < x.k), 0) AS BIGINT) AS stopped, CAST(sum(y.w) FILTER (y.k >= x.k) AS BIGINT) AS weight, any_value(x.own) AS own, any_value(x.w) AS w
+  FROM r x JOIN r y ON true GROUP BY x.k),
+best AS (SELECT * FROM c WHERE w * (3 * total - 4 * stopped) <= 4 * own * weight ORDER BY capped LIMIT 1),
+t AS (SELECT r.source, r.own, CASE WHEN best.capped IS NULL OR r.k <= best.capped THEN 4 * r.own * 1 ELSE r.w * (3 * r.total - 4 * best.stopped) END AS num,
+  CASE WHEN best.capped IS NULL OR r.k <= best.capped THEN 2 ELSE 2 * best.weight END AS den FROM r LEFT JOIN best ON true),
+g AS (SELECT *, (2 * num + den) // (2 * den) AS want FROM t),
+p AS (SELECT d.*, own, num, den, CASE WHEN own > 0 THEN want // own ELSE 0 END AS whole, want, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY stream, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, greatest(0, least(size, want - whole * own - start)) AS part FROM p)
+SELECT doc_id, size, own AS source_size, CAST(num AS DOUBLE) / CAST(den AS DOUBLE) AS target, CAST(size * whole + part AS BIGINT) AS taken,
+  CAST(CASE WHEN size * whole + part > 0 THEN whole + CAST(part > 0 AS INTEGER) ELSE 0 END AS BIGINT) AS takes FROM q
+"""
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document stands once for each time the mix takes it (also in part), each at its own place of the curriculum.
 
-    A document without words is no part of the mix, which counts words.
+    A document without words (a null or empty text) is no part of the mix, which counts words; a null source is a source; repeated
+    rows are taken each; other columns pass unchanged; no documents give none.
     """
     rows = keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_no")), "mix-rows")
     sized = keep(rows.select(*_sized(F.col("row.doc_id"), F.col("row.text"), F.col("row.source"), F.col("row_no"))), "mix-sizes")

@@ -6,14 +6,14 @@ import corpus_pipeline
 
 from .decontamination import op5_benchmark_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .mixing import op2_mixing
+from .mixing import OP2_SQL, op2_mixing
 from .sharding import op6_sharding
 from .simhash import op7_simhash_near_dedup
 from .token_counts import op4_token_counts
 from .token_output import op10_token_output
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op3_toxicity
-from .warc import op8_warc
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     f.__name__: f
@@ -23,4 +23,4 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES = {"op1_exact_top_k": OP1_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op1_exact_top_k": OP1_SQL, "op2_mixing": OP2_SQL, "op8_warc": OP8_SQL, "op9_line_dedup": OP9_SQL}
