@@ -11,7 +11,8 @@ Edge cases: null and empty texts get a score from zero features; labels without
 of a document count as toxic if one is; a null id hashes as the empty text; with fewer than ``MIN_KIND`` (20) toxic or clean
 rows in the fit sample nothing is fitted: every score is the sample's share of toxic rows (0 if it is empty), so below a share
 of 0.5 nothing is predicted toxic. The sample is not drawn by class, so a large corpus with under about 0.1 % toxic labels
-falls under this too; repeated rows are scored each; an empty table gives an empty result.
+falls under this too; of several documents with one id the text with the smallest hash is learned from, and all are scored;
+very long texts are scored whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ _word = re.compile(r"\w(?:[\w@$*!]*\w)?")
 _obfuscated = re.compile(r"[a-z][0-9@$*!]+[a-z]")
 _capitals, _digits = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _marks = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_far = re.compile("[^\x00-\x7f]+")  # beyond ASCII, the same classes by category
+_kinds = {c: k for c in map(chr, range(0x80, 0x20000)) if (k := {"L": 1 if c.isupper() else 0, "P": 2, "S": 2}.get(category(c)[0], 0))}
 _models: dict[str, "Model"] = {}
 
 
@@ -79,10 +83,12 @@ class Lexicon:
         found = sorted((weights[i] for i in hits), reverse=True)
         kinds = len({words[i] for i in hits})
         near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
-        rate = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
+        rate = lambda chars, more=0: (len(raw) - len(raw.translate(None, chars)) + more) / size
+        kinds_beyond = [] if len(raw) == len(text) else [_kinds[c] for c in "".join(_far.findall(text)) if c in _kinds]
+        capitals, marks = kinds_beyond.count(1), kinds_beyond.count(2)
         return [
             len(hits), 100 * len(hits) / n, kinds, sum(found), 100 * sum(found) / n, found[0] if found else 0.0,
-            sum(found[:3]), near, 100 * near / n, np.log1p(len(words)), rate(_capitals), rate(_marks),
+            sum(found[:3]), near, 100 * near / n, np.log1p(len(words)), rate(_capitals, capitals), rate(_marks, marks),
             100 * raw.count(b"!") / n, rate(_digits), 100 * len(_obfuscated.findall(low)) / n,
         ]
 
@@ -196,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     flagged = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = flagged.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")
-    sample = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # a row an id: sample_rows at most
+    sample = keep(rows.select("t.text", "toxic", F.pmod(F.xxhash64("t.text", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
     rows = sample.groupBy("fold").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()
     n_toxic, n_all = np.zeros(FOLDS), np.zeros(FOLDS)
     for r in rows:
@@ -257,6 +265,9 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of 0.5 or more go."""
+    """Pipeline stage: documents with a score of 0.5 or more go.
+
+    A null or empty text is scored like any other; repeated rows share their fate; other columns pass unchanged; no documents give none.
+    """
     score = scorer(spark, fit(docs, table(spark, sf_dir, "labels")))
     return docs.filter(score("text") < 0.5)
