@@ -6,7 +6,8 @@ each range are then counted exactly and ranges are laid out: large ranges each t
 key order until a shard is full. A range that is larger than a shard's free room is overfull and divided by the
 hash of the id, in parts that are laid out alike. Groups of equal texts stay together unless their range is divided.
 
-Slots: rows are numbered by key within parts of bounded size, and parts by their place in the shard.
+Slots: rows are numbered by key within parts of about ``PART_ROWS`` rows, and parts by their place in the shard; a range of more
+rows is cut by the hash of the row into as many parts as that takes, which stay in one shard unless the range is overfull.
 
 Edge cases: a null text has no bytes (size 1) and checksum 0, as an empty one; null ids are kept; repeated rows are rows of
 their own; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from .common import keep, table
 
 SAMPLE = 32_768
+PART_ROWS = 1 << 18
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -76,7 +78,7 @@ def _range_of(bounds: list[int]):
     return lambda df: df.withColumn("_c", first).withColumn("range", F.col("_c") * width + F.size(F.filter(table_[F.col("_c")], lambda b: b <= F.col("key"))) - 1).drop("_c")
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, ranges: int = 1024, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -88,11 +90,12 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 1024, id_col: str = "d
     bounds = splitters([(r.key, r.weight) for r in sample.collect()], ranges)  # about SAMPLE rows, twice that at most in the mean
     ranged = _range_of(bounds)(rows)
     share = max(1, total // ranges)
-    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("size").alias("n")).collect()}  # a row a range
-    divided = {k: max(2, -(-n // share)) for k, n in sizes.items() if n > 4 * share}
+    counted = ranged.groupBy("range").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # a row a range
+    sizes = {r["range"]: r["n"] for r in counted}
+    divided = {r["range"]: max(2, -(-r["n"] // share) if r["n"] > 4 * share else 0, -(-r["rows"] // part_rows)) for r in counted if r["n"] > 4 * share or r["rows"] > part_rows}
     ways = F.create_map(*[F.lit(x) for kv in divided.items() for x in kv])[F.col("range")] if divided else F.lit(None).cast("int")
-    cut = ranged.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), ways), F.lit(0)).cast("long"))
-    parts = [(r["range"], r["part"], r["n"], r["rows"]) for r in cut.groupBy("range", "part").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]  # at most 2 x ranges + len(divided)
+    cut = ranged.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "size", "key", F.lit(5)), ways), F.lit(0)).cast("long"))
+    parts = [(r["range"], r["part"], r["n"], r["rows"]) for r in cut.groupBy("range", "part").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()]  # about 2 x ranges, and one for each part_rows rows
     whole = {k for k in divided if sizes[k] * shards * 2 <= total}  # fits in a shard: its parts only bound the sort
     units = [(k, 0, sizes[k]) for k in whole] + [p[:3] for p in parts if p[0] not in whole]
     place = lay_out(units, shards)
