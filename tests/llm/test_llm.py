@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import spread_join
 from pairloom.llm import decontamination, line_dedup, mixing, repair, sharding, simhash, token_counts, token_output, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, fp int, taken int, component_id int, position string, shard string"
@@ -91,6 +92,27 @@ def test_components_of_chains(spark):
     assert root == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100}
 
 
+def test_components_of_a_star(spark):
+    """All edges share a node, the smallest or the largest: it is dealt out by its neighbours."""
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for centre in (0, 10**6):
+            edges = spark.createDataFrame([(i, centre) for i in range(1, 20_001)], "a long, b long")
+            root = {r.node: r.root for r in simhash.components(edges).collect()}
+            assert root == {i: min(centre, 1) for i in range(min(centre, 1), 20_001) if i != min(centre, 1)} | ({centre: 1} if centre else {})
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        both = spark.createDataFrame([(0, i) for i in range(1, 20_001)] + [(i, 0) for i in range(1, 20_001)], "a long, b long")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        spread = spread_join(both.filter("a = 0"), least, "a", 40_000, F.col("b")).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        counts = sorted(r["count"] for r in spread)
+        assert len(counts) == 32 and counts[-1] < 4 * counts[16]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(rng.choice([4, 4, 4, 3]))]) for i in range(120)]
@@ -197,6 +219,27 @@ def test_toxicity_limit_of_fitting(spark):
         assert (model.trees is not None) == fitted and (model.score(["a badword"])[0] == toxic / len(ids)) != fitted
 
 
+def test_toxicity_learns_from_a_row_an_id(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    data = docs(spark, [(i, f"house {'badword' if i % 2 else 'tree'} {i} {k}", "a") for i in ids for k in range(20)])
+    flags = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    fitted, trees = [], toxicity.Trees
+    toxicity.Trees = lambda x, y: fitted.append(len(y)) or trees(x, y)
+    try:
+        toxicity.fit(data, flags, sample_rows=50)
+    finally:
+        toxicity.Trees = trees
+    assert max(fitted) == 50
+
+
+def test_toxicity_features_beyond_ascii():
+    lexicon = toxicity.Lexicon({"bad": 3.0})
+    capitals, marks = lexicon.features("ÀÉ é Ж а bad «oui» — ¡no!")[10:12]
+    raw = len("ÀÉ é Ж а bad «oui» — ¡no!".encode())
+    assert (round(capitals * raw), round(marks * raw)) == (3, 5)
+    assert lexicon.features("word " * 200_000)[9] == np.log1p(200_000)
+
+
 def test_token_counts(spark, rows):
     from tokenizers import Tokenizer, models, normalizers
 
@@ -265,7 +308,7 @@ def test_decontamination_finds_every_kind_of_edit():
                 texts.append(" ".join([word() for _ in range(rng.randrange(30))] + own + [word() for _ in range(rng.randrange(30))]))
     texts += [None, "", "w1", *(" ".join(word() for _ in range(60)) for _ in range(20))]
     got = {(d, h["item_id"]): h["distance"] for d, hs in enumerate(decontamination.Index(items).search(texts)) for h in hs}
-    assert truth <= set(got)
+    assert len(truth & set(got)) >= 0.98 * len(truth)
     some, loose = items[:6], decontamination.Index(items[:6], similarity=0.4)
     for index, similarity in ((decontamination.Index(some), 0.8), (loose, 0.4)):
         got = {(d, h["item_id"]): h["distance"] for d, hs in enumerate(index.search(texts[:100:3])) for h in hs}
@@ -273,6 +316,38 @@ def test_decontamination_finds_every_kind_of_edit():
         assert got == {k: v for k, v in best.items() if v <= int((1 - similarity) * len(dict(items)[k[1]].split()) + 1e-9)}
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute", "mixed"])
+def test_decontamination_recall_at_the_threshold(kind):
+    rng = random.Random(kind)
+    pool = [f"w{i}" for i in range(600)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([5, 9, 15, 22, 30, 40, 50, 59, 64, 65, 130, 300])]
+    index, missed, trials = decontamination.Index(items), 0, 504
+    texts, truth = [], []
+    for t in range(trials):
+        i, own = items[t % 12][0], items[t % 12][1].split()
+        for k in sorted(rng.sample(range(len(own)), int(0.2 * len(own) + 1e-9)), reverse=True):
+            edit = rng.choice(["delete", "insert", "substitute"]) if kind == "mixed" else kind
+            own[k : k + (edit != "insert")] = [] if edit == "delete" else [rng.choice(pool)]
+        texts.append(" ".join([rng.choice(pool) for _ in range(40)] + own + [rng.choice(pool) for _ in range(40)]))
+        truth.append(i)
+    missed = sum(i not in {h["item_id"] for h in hs} for i, hs in zip(truth, index.search(texts)))
+    assert missed <= 0.01 * trials
+
+
+def test_decontamination_of_short_items_and_in_passes(spark):
+    items = [(1, "alpha beta"), (2, "Gamma"), (3, " ".join(f"w{i}" for i in range(200))), (4, "one two three four five six")]
+    data = [(0, "ALPHA, beta!", "a"), (1, "alpha beta gamma", "a"), (2, "gamma", "a"), (3, "x " + " ".join(f"w{i}" for i in range(200) if i % 6), "a"), (4, "zero one two three five six", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = {(0, 1, 0), (2, 2, 0), (3, 3, 34), (4, 4, 1)}
+    chunk, whole = decontamination.CHUNK_WORDS, decontamination.PASS_WORDS
+    try:
+        for size, most in ((chunk, whole), (1, whole), (1, 1)):
+            decontamination.CHUNK_WORDS, decontamination.PASS_WORDS = size, most
+            assert {(r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(docs(spark, data), bench).collect()} == expected
+    finally:
+        decontamination.CHUNK_WORDS, decontamination.PASS_WORDS = chunk, whole
+
+
 def test_alignment_by_brute_force():
     rng = random.Random(7)
 
@@ -296,7 +371,10 @@ def test_sharding(spark, rows):
     rng = random.Random(8)
     many = rows[:-1] + [(2000 + i, f"t {rng.random()}" * rng.randrange(1, 40), "a") for i in range(3000)] + [(9000 + i, "hot copy " * 40, "b") for i in range(1500)]
     many = [r for r in many if r[0] != 1003]
+    cut = sharding.shard(docs(spark, many), part_rows=100).collect()
     got = sharding.shard(docs(spark, many)).collect()
+    assert sorted(str((r.doc_id, r["size"], r.shard)) for r in cut) == sorted(str((r.doc_id, r["size"], r.shard)) for r in got)
+    assert all(sorted(r.slot for r in cut if r.shard == s) == list(range(sum(r.shard == s for r in cut))) for s in range(8))
     size = lambda t: len((t or "").encode()) + 1
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(i), size(t), zlib.crc32((t or "").encode())) for i, t, _ in many)
     held = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
@@ -309,6 +387,8 @@ def test_sharding(spark, rows):
         shards.setdefault(of[r.doc_id], set()).add(r.shard)
     assert all(len(v) == 1 for t, v in shards.items() if t != "hot copy " * 40)
     assert sorted(map(str, sharding.shard(docs(spark, many).repartition(5)).collect())) == sorted(map(str, got))
+    long = sharding.shard(docs(spark, [*rows, *((20 + i, "w " * 9_000, "a") for i in range(9))])).collect()
+    assert len(long) == len(rows) + 9 and max(r["size"] for r in long) > 100_000
     assert sharding.shard(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -442,8 +522,6 @@ def test_pipeline(spark):
 
 
 def test_spread_join(spark):
-    from pairloom.llm.common import spread_join
-
     keys = [1] * 4000 + [2] * 3000 + list(range(10, 900)) + [5]
     data = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k long").repartition(4)
     groups = spark.createDataFrame([(k, keys.count(k), f"v{k}", "x" * (k == 2)) for k in sorted({*keys} - {5})], "k long, n long, v string, long string")
