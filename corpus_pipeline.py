@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm.common import keep, table
+from pairloom.llm.common import discard, settle, table
 from pairloom.llm.decontamination import decontamination_stage
 from pairloom.llm.mixing import mixing_stage
 from pairloom.llm.simhash import dedup_stage
@@ -19,12 +19,14 @@ STAGES = [
     ("token_output", output_stage),
 ]
 
-#: No stage but the second and fourth can be put in SQL; tests/llm holds brute-force versions.
+#: The first, second, third and last stage cannot be put in SQL; tests/llm/test_queries.py holds a brute-force version of all five.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``; what a stage wrote goes once the next has read it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, before)
     return docs
