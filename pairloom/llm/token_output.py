@@ -21,6 +21,7 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from .common import fresh_path, keep, open_store, table, write_whole
 
 END_ID = 2
 CACHE = 1_000_000
+SLICE_BYTES = 8 << 20
+ODD = "[\x1c-\x1f]"
 _encoders: dict[str, "Encoder"] = {}
-_odd = re.compile("[\x1c-\x1f]")
 #: Latin, Cyrillic and common punctuation: normal forms as they are, with the same lower case and classes everywhere.
 RANGE = {*range(0x300), *range(0x400, 0x483), *range(0x48A, 0x500), *range(0x2010, 0x2028)}
 PLAIN = sorted(c for c in RANGE if RANGE.issuperset(map(ord, chr(c).lower())))
@@ -46,7 +48,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, {"\n": b""}  # ids of chunks, of pre-tokens
+        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {"": b""}, {"\n": b""}  # ids of chunks, of pre-tokens
         self.bare = Tokenizer(self.tokenizer.model)  # for pre-tokens that stand apart and need no normalising
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -99,19 +101,53 @@ class Encoder:
             known[chunk] = held[found[at]] if stop == at + 1 else b"".join([held[x] for x in found[at:stop]])
             at = stop + 1
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 64):
-            if len(self.known) > CACHE:
-                self.known.clear()
-            part = [text or "" for text in texts[i : i + 64]]
-            split = [None if _odd.search(text) else text.split() for text in part]
-            missing = set().union(*filter(None, split)).difference(self.known)
-            if missing:
-                self._learn(missing)
-            ids = self.known.__getitem__
-            out += [self._direct([text])[0] if chunks is None else b"".join(map(ids, chunks)) for text, chunks in zip(part, split)]
-        return out
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, the end id behind each, and the number of ids of each text.
+
+        Distinct chunks are told apart by Arrow; only they are looked up.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)).tolist()
+        whole = {i: np.frombuffer(self._direct([texts[i].as_py()])[0], "<u4") for i in odd}
+        split = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, ODD), "", texts) if odd else texts)
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.known[""] = b""
+        found = list(map(self.known.get, distinct))
+        missing = {x for x, ids in zip(distinct, found) if ids is None}
+        if missing:
+            self._learn(missing)
+            found = list(map(self.known.__getitem__, distinct))
+        pool = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(end_id)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, size = np.r_[np.cumsum(size) - size, len(pool) - 1], np.r_[size, 1]  # the last one is the end id
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        order = np.insert(chunks.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
+        length = size[order]
+        stops = np.cumsum(length)
+        ids = pool[np.repeat(first[order] - (stops - length), length) + np.arange(stops[-1] if len(stops) else 0)]
+        ends = stops[bounds[1:] + np.arange(len(texts))]
+        counts = np.diff(np.r_[0, ends])
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            for i, own in whole.items():
+                parts[i] = np.r_[own, np.uint32(end_id)]
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids.astype("<u4"), counts
+
+
+def _slices(batch: pa.RecordBatch):
+    """Runs of rows of at most ``SLICE_BYTES`` of text, or one row."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, (at[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int | None):
@@ -120,31 +156,30 @@ def _writer(path: str, folder: str, end_id: int, block_ids: int, rounds: int | N
 
         encoder, shard = Encoder.of(path), TaskContext.get().partitionId()
         store, root = open_store(folder)
-        tail = np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
-        ends: list[int] = []
-        base = number = 0
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        base = number = ready = 0
 
         def flush():
-            nonlocal base, number, doc_ids, held, ends
-            ids = np.frombuffer(b"".join(held), "<u4")
+            nonlocal base, number, ready, doc_ids, held, counts
+            ids, ends = np.concatenate(held), np.cumsum(np.concatenate(counts))
             name = f"{root}/{shard:06d}-{number:05d}.rpb"
-            write_whole(store, name, repair.pack(doc_ids, ids, np.array(ends, np.int64), max(encoder.terminals, end_id + 1), rounds))
+            write_whole(store, name, repair.pack(doc_ids, ids, ends, max(encoder.terminals, end_id + 1), rounds))
             row = pa.RecordBatch.from_pydict({"shard": [shard], "block": [number], "file": [name], "base": [base], "n_ids": [len(ids)]}, _rows)
-            base, number, doc_ids, held, ends = base + len(ids), number + 1, [], [], []
+            base, number, ready, doc_ids, held, counts = base + len(ids), number + 1, 0, [], [], []
             return row
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    doc_ids.append(doc_id)
-                    held.append(ids + tail)
-                    ends.append((ends[-1] if ends else 0) + len(ids) // 4 + 1)
-                if ends and ends[-1] >= block_ids:
+            for part in _slices(batch):
+                ids, n = encoder.encode(part.column(1), end_id)
+                doc_ids += part.column(0).to_pylist()
+                held.append(ids)
+                counts.append(n)
+                ready += len(ids)
+                if ready >= block_ids:
                     yield flush()
-        if ends:
+        if doc_ids:
             yield flush()
 
     return run
