@@ -3,7 +3,7 @@
 A vector is a sparse row of (dimension, integer weight). Candidates are turned into postings by dimension, a block at a
 time; for each dimension the weights of the queries that hold it are scattered, times the posting weights, into a
 dense array of scores (queries x candidates of the block). Each task keeps the best k of its block and of its
-partition by partition selection; the partial lists are merged by a window over each query. Candidates are scanned in place
+partition by partition selection among the scores that reach the best so far; the partial lists are merged by a window over each query. Candidates are scanned in place
 and never shuffled. Queries are sent out in blocks of at most ``query_block`` rows, one pass over the candidates each.
 
 Score: integer inner product, over the dimensions that both hold. Weights beyond 9e18 stop
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 LIMIT = 1 << 63
-STEP = 256  # queries scored at once
+STEP, TILE = 32, 4096  # queries and rows scored at once; their scores stay in a core's cache
 
 
 def _matrix(rows: list, width: int):
@@ -37,66 +37,87 @@ def _matrix(rows: list, width: int):
     return out
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of one query; ids ascend, so the first of equal scores wins."""
-    if len(score) <= k:
-        return np.lexsort((ids, -score))
-    cut = np.partition(score, len(score) - k)[len(score) - k]
-    above = np.flatnonzero(score > cut)
-    equal = np.flatnonzero(score == cut)[: k - len(above)]
-    own = np.concatenate([above, equal])
-    return own[np.lexsort((ids[own], -score[own]))]
-
-
 def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
-    """Scores of dense query rows against a block: postings holds (rows, weights) for each dimension."""
+    """Scores of dense query rows against a block: postings holds (rows, weights) for each dimension, rows None if it is about all."""
     wide = queries.dtype == object or any(w.dtype == object for _, w in postings)
+    kind = np.int64
     if not wide and len(queries):
         top = sum(int(np.abs(queries[:, d]).max()) * int(np.abs(w).max()) for d, (_, w) in enumerate(postings) if len(w))
         wide, kind = top >= LIMIT, np.int32 if top < 1 << 31 else np.int64
     if wide:
         kind, queries = object, queries.astype(object)
-    scores = np.zeros((len(queries), rows), kind)
+    scores, part = np.zeros((len(queries), rows), kind), np.empty((len(queries), rows), kind)
+    queries = queries.astype(kind)
     for d, (at, weights) in enumerate(postings):
         asking = np.flatnonzero(queries[:, d] != 0)
-        if not len(asking) or not len(at):
+        if not len(asking) or not len(weights):
             continue
-        part = queries[asking, d].astype(kind)[:, None] * weights.astype(kind)[None, :]
-        if len(at) == rows and len(asking) == len(queries):
+        if at is None and 2 * len(asking) >= len(queries):
+            np.multiply(queries[:, d, None], weights.astype(kind)[None, :], out=part)
             scores += part
         else:
-            scores[asking[:, None], at[None, :]] += part
+            some = np.s_[asking] if at is None else np.s_[asking[:, None], at[None, :]]
+            scores[some] += queries[asking, d, None] * weights.astype(kind)[None, :]
     return np.clip(scores, 1 - LIMIT, LIMIT - 1).astype(np.int64) if wide else scores
 
 
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, ids: list[int], k: int):
+        self.ids, self.k = np.array(ids, np.int64), k
+        self.score, self.id = np.full((len(ids), k), -LIMIT), np.zeros((len(ids), k), np.int64)
+
+    def add(self, lo: int, scores: np.ndarray, own: np.ndarray) -> None:
+        """Scores of the queries from ``lo`` on against the rows ``own`` (ids, ascending); a query's own rows are left out."""
+        low, k = np.iinfo(scores.dtype).min, self.k  # no score is as low
+        asked = self.ids[lo : lo + len(scores)]
+        for i, (a, b) in enumerate(zip(np.searchsorted(own, asked, "left"), np.searchsorted(own, asked, "right"))):
+            scores[i, a:b] = low
+        least = np.maximum(self.score[lo : lo + len(scores), -1], low).astype(scores.dtype)[:, None]
+        near = scores >= least
+        if len(own) > k and near.sum() > 64 * len(scores):
+            near &= scores >= np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None]
+        at, row = np.nonzero(near & (scores > low))
+        if not len(at):
+            return
+        some = np.unique(at)
+        query = np.r_[np.repeat(some, k), at]
+        score = np.r_[self.score[lo + some].reshape(-1), scores[at, row].astype(np.int64)]
+        ids = np.r_[self.id[lo + some].reshape(-1), own[row]]
+        order = np.lexsort((ids, ~score, query))  # ~score: the order of -score, for the lowest too
+        query = query[order]
+        first = np.searchsorted(query, some)
+        kept = order[first[:, None] + np.arange(k)]
+        self.score[lo + some], self.id[lo + some] = score[kept], ids[kept]
+
+    def rows(self) -> pd.DataFrame:
+        full = self.score > -LIMIT
+        return pd.DataFrame({"query_id": np.repeat(self.ids, full.sum(1)), "vec_id": self.id[full], "score": self.score[full]})
+
+
 def _scan(sent, k: int):
     def run(frames):
         ids, vectors = sent.value
-        lists: list[list[tuple[int, int]]] = [[] for _ in ids]
         width = max((len(v) for v in vectors), default=0)
-        queries = _matrix(vectors, width)
+        queries, best = _matrix(vectors, width), Best(ids, k)
         for frame in frames:
             frame = frame.sort_values("id", kind="stable")
-            own = frame["id"].to_numpy()
-            held = frame["w"].tolist()
-            lengths = {len(v) for v in held}
-            if len(lengths) == 1:
-                weights = np.stack(held).astype(np.int64)[:, :width]
-            else:
-                weights = _matrix([[int(x) for x in v] for v in held], max(lengths, default=0))[:, :width]
-            postings = []
-            for d in range(weights.shape[1]):
-                at = np.flatnonzero(weights[:, d] != 0)
-                postings.append((at, weights[at, d]))
-            for lo in range(0, len(ids), STEP):
-                scores = accumulate(queries[lo : lo + STEP], postings, len(own))
-                for i, score in enumerate(scores, lo):
-                    a, b = np.searchsorted(own, [ids[i], ids[i] + 1])
-                    s, o = (np.delete(score, np.s_[a:b]), np.delete(own, np.s_[a:b])) if b > a else (score, own)
-                    got = _best(s, o, k)
-                    lists[i] = sorted([*lists[i], *((-int(s[j]), int(o[j])) for j in got)])[:k]
-        rows = [(ids[i], o, -s) for i, found in enumerate(lists) for s, o in found]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            every, held = frame["id"].to_numpy(), frame["w"].tolist()
+            for c in range(0, len(held), TILE):
+                own, rows = every[c : c + TILE], held[c : c + TILE]
+                lengths = {len(v) for v in rows}
+                if len(lengths) == 1:
+                    weights = np.stack(rows).astype(np.int64)[:, :width]
+                else:
+                    weights = _matrix([[int(x) for x in v] for v in rows], max(lengths, default=0))[:, :width]
+                postings = []
+                for d in range(weights.shape[1]):
+                    at = np.flatnonzero(weights[:, d] != 0)
+                    postings.append((None, weights[:, d].copy()) if 2 * len(at) >= len(own) else (at, weights[at, d]))
+                for lo in range(0, len(ids), STEP):
+                    best.add(lo, accumulate(queries[lo : lo + STEP], postings, len(own)), own)
+        yield best.rows()
 
     return run
 
