@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, spread_join, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -33,8 +33,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     mark = lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))
     marks = read.select("host", F.explode(F.array_distinct(F.transform("lines", mark))).alias("mark"))
     seen = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    hosts = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.join(hosts, "host").filter(F.col("n") > ratio * F.col("pages"))
+    hosts = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    hosts = hosts.select("host", "n", F.col("n").alias("pages"))
+    often = spread_join(seen, hosts, "host", pages.count(), F.col("mark")).filter(F.col("n") > ratio * F.col("pages"))
     listed = often.groupBy(F.col("host").alias("_host")).agg(F.collect_list("mark").alias("often"))
     listed = keep(listed, "boilerplate")
     if (listed.agg(F.sum(F.size("often"))).first()[0] or 0) <= SMALL:
