@@ -9,6 +9,9 @@ import hashlib
 import struct
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ArtifactError
@@ -112,6 +115,55 @@ def verify_file(data: bytes, sha256: str, sha512: str) -> None:
         raise ArtifactError("FileDigestMismatch")
 
 
+def parse_records(data: bytes, kind: str, layout: str = "u32", magic: bytes = MAGIC):
+    """Rows of one artifact: (id, bytes), or (ordinal, a, b, merged)."""
+    if layout == "u32":
+        meta = inspect(data, kind, magic)
+        payload, count, record = data[128:], meta.record_count, "<III"
+    elif layout == "v2u16":
+        if len(data) < 4:
+            raise ArtifactError("Truncated")
+        payload, (count,), record = data[4:], struct.unpack_from("<I", data), "<HHH"
+        if kind == "merges" and len(payload) != 6 * count:
+            raise ArtifactError("Truncated" if len(payload) < 6 * count else "TrailingData")
+    else:
+        raise ArtifactError("UnknownLayout", layout)
+    if kind == "vocab":
+        return list(enumerate(vocab_records(payload, count)))
+    return [(i, *m) for i, m in enumerate(struct.iter_unpack(record, payload))]
+
+
+SCHEMAS = {"vocab": "id int, bytes binary", "merges": "ordinal int, a int, b int, merged int"}
+
+
+def records(files: DataFrame, kind: str, layout: str = "u32", magic: bytes = MAGIC, content: str = "content") -> DataFrame:
+    """Rows of the artifacts in a binary column, such as that of ``binaryFile``, from any store that Spark reads."""
+    names = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            for data in frame[content]:
+                yield pd.DataFrame(parse_records(bytes(data), kind, layout, magic), columns=names)
+
+    return files.select(content).mapInPandas(run, SCHEMAS[kind])
+
+
+def fault_of(content: Column, kind: str, magic: bytes = MAGIC) -> Column:
+    """The class of the first check that an artifact fails, or ``ok``."""
+
+    def run(data: pd.Series) -> pd.Series:
+        def one(x) -> str:
+            try:
+                parse_records(bytes(x), kind, magic=magic)
+            except ArtifactError as e:
+                return e.kind
+            return "ok"
+
+        return data.map(one)
+
+    return F.pandas_udf(run, "string")(content)
+
+
 class ArtifactSource(DataSource):
     """``spark.read.format("pair_artifact").option("kind", "vocab" | "merges").option("layout", "u32" | "v2u16").load(path)``."""
 
@@ -120,7 +172,7 @@ class ArtifactSource(DataSource):
         return "pair_artifact"
 
     def schema(self):
-        return "id int, bytes binary" if self.options.get("kind", "vocab") == "vocab" else "ordinal int, a int, b int, merged int"
+        return SCHEMAS[self.options.get("kind", "vocab")]
 
     def reader(self, schema):
         return _Reader(dict(self.options))
@@ -137,14 +189,4 @@ class _Reader(DataSourceReader):
         kind, layout = self.options.get("kind", "vocab"), self.options.get("layout", "u32")
         with open(self.options["path"].removeprefix("file://"), "rb") as f:
             data = f.read()
-        if layout == "u32":
-            meta = inspect(data, kind, self.options.get("magic", MAGIC.decode("latin-1")).encode("latin-1"))
-            payload, count, record = data[128:], meta.record_count, "<III"
-        elif layout == "v2u16":
-            payload, (count,), record = data[4:], struct.unpack_from("<I", data), "<HHH"
-        else:
-            raise ArtifactError("UnknownLayout", layout)
-        if kind == "vocab":
-            yield from enumerate(vocab_records(payload, count))
-        else:
-            yield from ((i, *m) for i, m in enumerate(struct.iter_unpack(record, payload)))
+        yield from parse_records(data, kind, layout, self.options.get("magic", MAGIC.decode("latin-1")).encode("latin-1"))

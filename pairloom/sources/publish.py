@@ -11,6 +11,7 @@ import uuid
 from dataclasses import asdict, dataclass
 
 from ..errors import ArtifactError
+from ..functions.tokens import BASE, MAX_VOCAB
 from ..operators.tokenizer import Tokenizer
 from . import artifacts
 
@@ -61,10 +62,10 @@ def manifest_of(tokenizer: Tokenizer, context: Context, files: dict[str, bytes])
         meta = artifacts.inspect(data, name.removesuffix(".bin"))
         rows.append({"relative_filename": name, "artifact_kind": meta.kind, "file_bytes": len(data), "payload_bytes": meta.payload_bytes, "record_count": meta.record_count, "file_sha256": _digest(data), "file_sha512": _digest(data, "sha512"), "payload_sha256": meta.payload_sha256, "sequence_sha256": meta.sequence_sha256})
     return {
-        "schema": SCHEMA, "format": {"name": "u32", "major": 3, "minor": 0, "header_bytes": 128},
+        "schema": SCHEMA, "format": FORMAT,
         "provenance": {k: v for k, v in asdict(context).items() if v is not None},
-        "counts": {"base_vocab_count": 276, "vocab_size": len(tokenizer.vocab), "merge_count": len(tokenizer.merges)},
-        "artifacts": rows, "readback": {"explicit_format": "u32", "paired_validation": True, "source_tokenizer_equal": True},
+        "counts": {"base_vocab_count": BASE, "vocab_size": len(tokenizer.vocab), "merge_count": len(tokenizer.merges)},
+        "artifacts": rows, "readback": READBACK,
     }
 
 
@@ -92,33 +93,124 @@ def write_new(path: str, data: bytes) -> None:
     _sync(os.path.dirname(os.path.abspath(path)))
 
 
+def _rename_new(source: str, destination: str) -> None:
+    """Rename a folder to a name that must not exist, in one step where the system can."""
+    import ctypes
+    import errno
+
+    renameat2 = getattr(ctypes.CDLL(None, use_errno=True), "renameat2", None)
+    if renameat2 is not None:
+        at_cwd, no_replace = -100, 1  # fixed values: of the system call
+        if renameat2(at_cwd, os.fsencode(source), at_cwd, os.fsencode(destination), no_replace) == 0:
+            return
+        code = ctypes.get_errno()
+        if code == errno.EEXIST:
+            raise ArtifactError("DestinationExists", destination)
+        if code not in (errno.ENOSYS, errno.EINVAL):
+            raise OSError(code, os.strerror(code), destination)
+    try:
+        os.mkdir(destination)  # takes the name; renaming onto an empty folder replaces just that
+    except FileExistsError as e:
+        raise ArtifactError("DestinationExists", destination) from e
+    os.rename(source, destination)
+
+
+def publish_folder(destination: str, write) -> None:
+    """``write`` fills a folder beside the destination, which then takes its name: whole, or not at all, and never over another."""
+    destination = os.path.abspath(destination)
+    if os.path.lexists(destination):
+        raise ArtifactError("DestinationExists", destination)
+    aside = f"{destination}.{uuid.uuid4().hex[:8]}.part"
+    os.mkdir(aside)
+    try:
+        write(aside)
+        _sync(aside)
+        _rename_new(aside, destination)
+    finally:
+        shutil.rmtree(aside, ignore_errors=True)
+    _sync(os.path.dirname(destination))
+
+
 def write_package(tokenizer: Tokenizer, destination: str, context: Context) -> dict:
-    """Written and read back in a folder aside; taking the final name is one mkdir, the manifest comes last."""
+    """Written, read back and compared in a folder beside, which then takes the final name; the manifest comes last."""
     files = {"vocab.bin": artifacts.build(tokenizer, "vocab"), "merges.bin": artifacts.build(tokenizer, "merges")}
     wire = manifest_of(tokenizer, context, files)
     if len(canonical(wire)) > CAP:
         raise ArtifactError("ResourceLimitExceeded", MANIFEST)
-    if artifacts.read_pair(files["vocab.bin"], files["merges.bin"]) != tokenizer:
-        raise ArtifactError("ReadbackMismatch")
-    try:
-        os.mkdir(destination)
-    except FileExistsError as e:
-        raise ArtifactError("DestinationExists", destination) from e
-    try:
+
+    def write(folder: str) -> None:
         for name, data in files.items():
-            write_new(os.path.join(destination, name), data)
-        write_new(os.path.join(destination, MANIFEST), canonical(wire))
-        if load_package(destination) != tokenizer:
+            write_new(os.path.join(folder, name), data)
+        read = [_bytes(os.path.join(folder, name)) for name in files]
+        if artifacts.read_pair(*read) != tokenizer:
             raise ArtifactError("ReadbackMismatch")
-    except BaseException:
-        shutil.rmtree(destination)
-        raise
+        write_new(os.path.join(folder, MANIFEST), canonical(wire))
+        if load_package(folder) != tokenizer:
+            raise ArtifactError("ReadbackMismatch")
+
+    publish_folder(destination, write)
+    return wire
+
+
+def _bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _plain(path: str) -> str:
+    """The path itself, if it is no link and lies below none."""
+    path = os.path.abspath(path)
+    if os.path.lexists(path) and os.path.realpath(path) != path:
+        raise ArtifactError("InvalidPublicationPath", path)
+    return path
+
+
+#: Fields of a package manifest, in order.
+ROW = ("relative_filename", "artifact_kind", "file_bytes", "payload_bytes", "record_count", "file_sha256", "file_sha512", "payload_sha256", "sequence_sha256")
+FORMAT = {"name": "u32", "major": 3, "minor": 0, "header_bytes": 128}
+READBACK = {"explicit_format": "u32", "paired_validation": True, "source_tokenizer_equal": True}
+
+
+def check_manifest(wire: dict) -> dict:
+    """Each part of a package manifest in order; the first that is wrong raises."""
+    natural = lambda x: type(x) is int and x >= 0
+    digest = lambda x, n: isinstance(x, str) and re.fullmatch(rf"[0-9A-F]{{{n}}}", x) and set(x) != {"0"}
+    if not isinstance(wire, dict) or tuple(wire) != ("schema", "format", "provenance", "counts", "artifacts", "readback"):
+        raise ArtifactError("InvalidManifest", "fields")
+    if wire["schema"] != SCHEMA:
+        raise ArtifactError("InvalidManifest", "schema")
+    if wire["format"] != FORMAT:
+        raise ArtifactError("InvalidManifest", "format")
+    try:
+        Context(**({"parent_checkpoint_id": None} | wire["provenance"]))
+    except TypeError as e:
+        raise ArtifactError("InvalidManifest", "provenance") from e
+    counts = wire["counts"]
+    if not isinstance(counts, dict) or tuple(counts) != ("base_vocab_count", "vocab_size", "merge_count") or not all(map(natural, counts.values())):
+        raise ArtifactError("InvalidManifest", "counts")
+    if counts["base_vocab_count"] != BASE or not BASE <= counts["vocab_size"] <= MAX_VOCAB or counts["merge_count"] != counts["vocab_size"] - BASE:
+        raise ArtifactError("InvalidManifest", "counts")
+    if not isinstance(wire["artifacts"], list) or len(wire["artifacts"]) != 2:
+        raise ArtifactError("InvalidManifest", "artifacts")
+    for row, kind, records in zip(wire["artifacts"], ("vocab", "merges"), (counts["vocab_size"], counts["merge_count"])):
+        ok = isinstance(row, dict) and tuple(row) == ROW and (row["relative_filename"], row["artifact_kind"], row["record_count"]) == (f"{kind}.bin", kind, records)
+        ok = ok and natural(row["file_bytes"]) and natural(row["payload_bytes"]) and row["file_bytes"] == FORMAT["header_bytes"] + row["payload_bytes"]
+        ok = ok and (row["payload_bytes"] >= 4 * records if kind == "vocab" else row["payload_bytes"] == 12 * records)
+        if not ok or not all(digest(row[f], 128 if f.endswith("512") else 64) for f in ROW[5:]):
+            raise ArtifactError("InvalidManifest", f"artifacts {kind}")
+    vocab, merges = wire["artifacts"]
+    if not vocab["sequence_sha256"] == merges["sequence_sha256"] == merges["payload_sha256"]:
+        raise ArtifactError("InvalidManifest", "sequence_sha256")
+    if wire["readback"] != READBACK:
+        raise ArtifactError("InvalidManifest", "readback")
     return wire
 
 
 def read_manifest(path: str) -> dict:
+    """Of a package folder, or of exactly its manifest file; neither may be a link or lie below one."""
+    path = _plain(path)
     if os.path.isdir(path):
-        path = os.path.join(path, MANIFEST)
+        path = _plain(os.path.join(path, MANIFEST))
     elif os.path.basename(path) != MANIFEST:
         raise ArtifactError("ManifestNotFound", path)
     if not os.path.isfile(path):
@@ -131,10 +223,20 @@ def read_manifest(path: str) -> dict:
         raise ArtifactError("Json", str(e)) from e
     if len(data) > CAP or canonical(wire) != data:
         raise ArtifactError("NonCanonicalManifest")
-    if wire.get("schema") != SCHEMA or set(wire) != {"schema", "format", "provenance", "counts", "artifacts", "readback"} or [a["relative_filename"] for a in wire["artifacts"]] != ["vocab.bin", "merges.bin"]:
-        raise ArtifactError("InvalidManifest")
-    Context(**({"parent_checkpoint_id": None} | wire["provenance"]))
-    return wire
+    return check_manifest(wire)
+
+
+def measure(tokenizer: Tokenizer) -> dict:
+    """Counts, payload sizes and digests of the two artifacts, and the longest token, without keeping a whole file."""
+    vocab, size = hashlib.sha256(), 0
+    for token in tokenizer.vocab:
+        vocab.update(len(token).to_bytes(4, "little") + token)
+        size += 4 + len(token)
+    return {
+        "vocab_records": len(tokenizer.vocab), "vocab_payload_bytes": size, "vocab_payload_sha256": vocab.hexdigest().upper(),
+        "merge_records": len(tokenizer.merges), "merge_payload_bytes": 12 * len(tokenizer.merges), "sequence_sha256": tokenizer.sequence_sha256(),
+        "max_token_bytes": max(map(len, tokenizer.vocab)),
+    }
 
 
 def load_package(path: str) -> Tokenizer:
@@ -142,12 +244,14 @@ def load_package(path: str) -> Tokenizer:
     folder = path if os.path.isdir(path) else os.path.dirname(path)
     data = []
     for row in wire["artifacts"]:
-        with open(os.path.join(folder, row["relative_filename"]), "rb") as f:
-            data.append(f.read())
+        data.append(_bytes(_plain(os.path.join(folder, row["relative_filename"]))))
         artifacts.verify_file(data[-1], row["file_sha256"], row["file_sha512"])
-        if len(data[-1]) != row["file_bytes"]:
+        meta = artifacts.inspect(data[-1], row["artifact_kind"])
+        if (meta.file_bytes, meta.payload_bytes, meta.record_count) != (row["file_bytes"], row["payload_bytes"], row["record_count"]):
             raise ArtifactError("LengthMismatch")
+        if (meta.payload_sha256, meta.sequence_sha256) != (row["payload_sha256"], row["sequence_sha256"]):
+            raise ArtifactError("PayloadDigestMismatch")
     tokenizer = artifacts.read_pair(*data)
-    if wire["counts"] != {"base_vocab_count": 276, "vocab_size": len(tokenizer.vocab), "merge_count": len(tokenizer.merges)}:
+    if wire["counts"] != {"base_vocab_count": BASE, "vocab_size": len(tokenizer.vocab), "merge_count": len(tokenizer.merges)}:
         raise ArtifactError("CountMismatch")
     return tokenizer
