@@ -1,26 +1,29 @@
 """Weighted pair-merge training.
 
-``rounds``: one Spark aggregation a round over distinct segments; a round applies the longest run of best pairs that
-share no symbol (a pair of equal symbols only as its last), which gives the merges of one-at-a-time training.
-``collect``: Spark counts the segments, the driver merges with incremental pair counts. ``auto`` collects up to
-``max_words`` distinct segments and works in rounds beyond, so that the driver's memory is bounded.
+``rounds``: pair counts are a written table; a round applies the longest run of best pairs that share no symbol (a pair of
+equal symbols only as its last), which gives the merges of one-at-a-time training, and adds to the table what changes in the
+segments that hold one of the pairs. ``collect``: Spark counts the segments, the driver merges over arrays of their symbols
+with incremental pair counts. ``auto`` collects while the arrays fit in ``driver_bytes`` and works in rounds beyond.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import TokenError
+from ..errors import TokenError, unwrapped
 from ..functions.tokens import BASE, MAX_VOCAB, check_target, symbol, token_of
+from .presegment import statistics
 from .stats import SCALE, pair_counts, symbol_words, top_pairs, word_counts
 from .tokenizer import Tokenizer
 from .written import remove, written
 
+SYMBOL_BYTES = 64  # the driver's arrays, for each symbol of a distinct segment
+
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -28,7 +31,7 @@ class TrainConfig:
     min_frequency: int = 2
     deterministic: bool = True
     strategy: str = "auto"
-    max_words: int = 5_000_000
+    driver_bytes: int = 2 << 30
     look: int = 64
 
 
@@ -40,6 +43,18 @@ class Merge:
     count: int
 
 
+@dataclass(frozen=True)
+class TrainingStats:
+    """loaded_sequences: accepted lines; loaded_tokens: their bytes, a token each before any merge."""
+
+    loaded_sequences: int
+    skipped_lines: int
+    loaded_tokens: int
+    unique_words: int
+    learned_merges: int
+    final_vocab: int
+
+
 def batch(ranked: list[tuple[str, int]], threshold: int, room: int) -> list[tuple[str, int]]:
     """The pairs of one round, from (pair, count) in order."""
     out: list[tuple[str, int]] = []
@@ -59,91 +74,161 @@ def train_rounds(words: DataFrame, target: int, threshold: int, look: int = 64,
     spark = words.sparkSession
     merges: list[Merge] = []
     now, path = written(words.filter(F.length("sym") > 1), "train")
+    counts, counts_at = written(pair_counts(now), "pairs")
     pending = 0
     while BASE + len(merges) < target:
-        ranked = [(r.pair, r.n) for r in top_pairs(pair_counts(now), 1 if one_by_one else look).collect()]
+        ranked = [(r.pair, r.n) for r in top_pairs(counts, 1 if one_by_one else look).collect()]
         chosen = batch(ranked, threshold, target - BASE - len(merges))
         if not chosen:
             break
-        sym: Column = F.col("sym")
+        old: Column = F.col("sym")
+        held, new = F.lit(False), old
         for pair, n in chosen:
-            new = BASE + len(merges)
-            sym = F.replace(sym, F.lit(pair), F.lit(symbol(new)))
-            merges.append(Merge(token_of(pair[0]), token_of(pair[1]), new, n))
-        now, pending = now.select(sym.alias("sym"), "freq").filter(F.length("sym") > 1), pending + len(chosen)
+            held = held | old.contains(F.lit(pair))
+            new = F.replace(new, F.lit(pair), F.lit(symbol(BASE + len(merges))))
+            merges.append(Merge(token_of(pair[0]), token_of(pair[1]), BASE + len(merges), n))
+        if BASE + len(merges) >= target:
+            break
+        touched = now.filter(held)
+        less = pair_counts(touched).select("pair", (-F.col("n")).alias("n"))
+        changed = counts.unionByName(less).unionByName(pair_counts(touched.select(new.alias("sym"), "freq")))
+        after, after_at = written(changed.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs")
+        remove(spark, counts_at)
+        counts, counts_at = after, after_at
+        now, pending = now.select(new.alias("sym"), "freq").filter(F.length("sym") > 1), pending + len(chosen)
         if pending >= 24:
             after, to = written(now, "train")
             remove(spark, path)
             now, path, pending = after, to, 0
     remove(spark, path)
+    remove(spark, counts_at)
     return merges
 
 
-def train_words(words: list[tuple[str, int]], target: int, threshold: int) -> list[Merge]:
-    """The same merges on the driver, from (symbols, weight)."""
-    held = [[token_of(c) for c in sym] for sym, _ in words]
-    freq = [f for _, f in words]
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, w in enumerate(held):
-        for pair in zip(w, w[1:]):
-            counts[pair] += freq[i]
-            where[pair].add(i)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
+def train_arrays(symbols: np.ndarray, lengths: np.ndarray, freq: np.ndarray, target: int, threshold: int) -> list[Merge]:
+    """The same merges on the driver, from the token ids of all words in a row, the words' lengths and weights.
+
+    Places are linked within a word; ``where`` holds, for each pair, the places at which it began when they were found, and
+    places that have changed since are left out when the pair is taken.
+    """
+    seq, ends = symbols.astype(np.uint64), np.cumsum(lengths)
+    place = np.int32 if len(seq) < 1 << 31 else np.int64
+    after, before = np.arange(1, len(seq) + 1, dtype=place), np.arange(-1, len(seq) - 1, dtype=place)
+    full = ends[lengths > 0]
+    after[full - 1], before[np.r_[0, full[:-1]][: len(full)]] = -1, -1
+    weight = np.repeat(freq.astype(np.int64), lengths)
+    counts: dict[int, int] = {}
+    where: dict[int, list[np.ndarray]] = {}
+    heap: list[tuple[int, int]] = []
+
+    def tally(at: np.ndarray, sign: int, change: dict[int, int]) -> None:
+        """Weights of the pairs that begin at distinct places; new places of a pair are noted where they are added."""
+        key = (seq[at] << np.uint64(32)) | seq[after[at]]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        sums = np.add.reduceat(weight[at], first) if len(first) else np.zeros(0, np.int64)
+        for k, n, lo, hi in zip(key[first].tolist(), sums.tolist(), first.tolist(), [*first[1:].tolist(), len(key)]):
+            change[k] = change.get(k, 0) + sign * n
+            if sign > 0:
+                where.setdefault(k, []).append(at[lo:hi].astype(place))
+
+    def settle(change: dict[int, int]) -> None:
+        for k, d in change.items():
+            if d:
+                n = counts.get(k, 0) + d
+                if n > 0:
+                    counts[k] = n
+                    heapq.heappush(heap, (-n, k))
+                else:
+                    counts.pop(k, None)
+                    where.pop(k, None)
+
+    change: dict[int, int] = {}
+    tally(np.flatnonzero(after >= 0), 1, change)
+    settle(change)
     merges: list[Merge] = []
     while heap and BASE + len(merges) < target:
-        n, pair = heapq.heappop(heap)
-        if counts.get(pair, 0) != -n or not n:
+        n, key = heapq.heappop(heap)
+        if counts.get(key) != -n:
             continue
         if -n < threshold:
             break
+        a, b = key >> 32, key & 0xFFFFFFFF
         new = BASE + len(merges)
-        merges.append(Merge(*pair, new, -n))
-        changed: dict[tuple[int, int], int] = defaultdict(int)
-        for i in where.pop(pair):
-            old, w, k = held[i], [], 0
-            while k < len(old):
-                if k + 1 < len(old) and (old[k], old[k + 1]) == pair:
-                    w.append(new)
-                    k += 2
-                else:
-                    w.append(old[k])
-                    k += 1
-            if len(w) == len(old):
-                continue
-            for p in zip(old, old[1:]):
-                changed[p] -= freq[i]
-            for p in zip(w, w[1:]):
-                changed[p] += freq[i]
-                where[p].add(i)
-            held[i] = w
-        for p, d in changed.items():
-            if d:
-                counts[p] += d
-                if counts[p] > 0:
-                    heapq.heappush(heap, (-counts[p], p))
-                else:
-                    del counts[p]
-        counts.pop(pair, None)
+        merges.append(Merge(a, b, new, -n))
+        noted = where.pop(key)
+        at = np.unique(np.concatenate(noted)) if len(noted) > 1 else noted[0]
+        at = at[(seq[at] == a) & (after[at] >= 0)]
+        at = at[seq[after[at]] == b]
+        if a == b:  # of a run, from its left, every second pair
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+        gone = after[at]
+        near = np.concatenate([before[at], at, gone])
+        near = np.unique(near[near >= 0])
+        change = {}
+        tally(near[after[near] >= 0], -1, change)
+        then = after[gone]
+        seq[at], after[at] = new, then
+        seq[gone], after[gone] = MAX_VOCAB, -1
+        before[then[then >= 0]] = at[then >= 0]
+        near = np.concatenate([before[at], at])
+        near = np.unique(near[near >= 0])
+        tally(near[after[near] >= 0], 1, change)
+        counts.pop(key, None)
+        change.pop(key, None)
+        settle(change)
     return merges
 
 
+def train_words(words: list[tuple[str, int]], target: int, threshold: int) -> list[Merge]:
+    """The same from (symbols, weight)."""
+    text = "".join(sym for sym, _ in words)
+    lengths, freq = np.array([len(sym) for sym, _ in words], np.int64), np.array([f for _, f in words], np.int64)
+    return train_arrays(_ids(text), lengths, freq, target, threshold)
+
+
+def _ids(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.where(points < 0xD800, points - 0x100, points - 0x900)
+
+
+def train_collected(words: DataFrame, target: int, threshold: int) -> list[Merge]:
+    """The same from a written table (sym, freq), which comes to the driver as Arrow batches."""
+    import pyarrow.compute as pc
+
+    table = words.filter(F.length("sym") > 1).select("sym", "freq").toArrow()
+    lengths = pc.utf8_length(table["sym"]).to_numpy().astype(np.int64)
+    ids = [_ids("".join(part.to_pylist())) for part in table["sym"].chunks]
+    symbols = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    return train_arrays(symbols, lengths, table["freq"].to_numpy().astype(np.int64), target, threshold)
+
+
 def train(docs: DataFrame, config: TrainConfig = TrainConfig(), text: str = "text", weight: Column | int = SCALE) -> tuple[Tokenizer, list[Merge]]:
+    tokenizer, merges, _ = train_with_stats(docs, config, text, weight, False)
+    return tokenizer, merges
+
+
+def train_with_stats(docs: DataFrame, config: TrainConfig = TrainConfig(), text: str = "text", weight: Column | int = SCALE, measured: bool = True) -> tuple[Tokenizer, list[Merge], TrainingStats | None]:
+    """Tokenizer, merges with their counts, and counts of what was read (one more pass over the documents)."""
     target = check_target(config.vocab_size)
     if target == BASE:
-        return Tokenizer.from_merges([]), []
-    words = symbol_words(word_counts(docs, text, weight))
-    threshold, strategy = config.min_frequency * SCALE, config.strategy
-    kept, path = written(words, "words")
-    n = kept.count()
-    if not n:
-        raise TokenError("NoTrainingData")
-    if strategy == "auto":
-        strategy = "collect" if n <= config.max_words else "rounds"
-    if strategy == "collect":
-        merges = train_words([(r.sym, r.freq) for r in kept.toLocalIterator()], target, threshold)
-    else:
-        merges = train_rounds(kept, target, threshold, config.look)
-    remove(docs.sparkSession, path)
-    return Tokenizer.from_merges([(m.a, m.b) for m in merges]), merges
+        return Tokenizer.from_merges([]), [], TrainingStats(0, 0, 0, 0, 0, BASE)
+    spark, threshold, strategy = docs.sparkSession, config.min_frequency * SCALE, config.strategy
+    with unwrapped():
+        kept, path = written(symbol_words(word_counts(docs, text, weight)), "words")
+        try:
+            seen = kept.agg(F.count("*").alias("n"), F.sum(F.length("sym")).alias("symbols")).first()
+            if not seen.n:
+                raise TokenError("NoTrainingData")
+            if strategy == "auto":
+                strategy = "collect" if seen.symbols * SYMBOL_BYTES <= config.driver_bytes else "rounds"
+            merges = train_collected(kept, target, threshold) if strategy == "collect" else train_rounds(kept, target, threshold, config.look)
+        finally:
+            remove(spark, path)
+        stats = None
+        if measured:
+            s = statistics(docs, text).first()
+            stats = TrainingStats(s.accepted_lines, s.skipped_empty_lines + s.skipped_special_only_lines, s.accepted_line_bytes, seen.n, len(merges), BASE + len(merges))
+    return Tokenizer.from_merges([(m.a, m.b) for m in merges]), merges, stats
