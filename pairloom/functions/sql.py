@@ -15,9 +15,7 @@ from ..sources.artifacts import ArtifactSource
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer) -> None:
-    import uuid
-
-    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(tokenizer)
+    name, sent = tokenizer.digest, spark.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("array<int>")
     def bpe_encode(text: pd.Series) -> pd.Series:

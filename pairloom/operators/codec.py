@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,10 +20,12 @@ from ..errors import CodecError
 from ..functions.tokens import byte_token, latin, symbol, to_symbols, token_of_column
 from .presegment import pieces, special_spans
 from .tokenizer import Tokenizer
+from .written import written
 
 SCHEMA = "pairloom_encoded_tokens_v1"
 _piece = re.compile(rb"\n|\r(?=\n|\Z)|(?:(?!\r(?:\n|\Z))[\t\x0b\x0c\r ])*[^\t\n\x0b\x0c\r ]+|(?:(?!\r(?:\n|\Z))[\t\x0b\x0c\r ])+")
 _coders: dict[str, "Coder"] = {}
+KEEP_CODERS = 4
 
 
 @dataclass(frozen=True)
@@ -88,15 +89,17 @@ class Coder:
 
 
 def _coder(name: str, sent) -> Coder:
+    """The worker's coder of a tokenizer, by its digest; encoders and decoders of one tokenizer share it."""
     if name not in _coders:
-        _coders.clear()
+        if len(_coders) >= KEEP_CODERS:
+            _coders.pop(next(iter(_coders)))
         _coders[name] = Coder(sent.value)
     return _coders[name]
 
 
 def encoder(spark, tokenizer: Tokenizer):
     """Column function: binary -> array<int>. The tokenizer has at most 131,072 tokens."""
-    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(tokenizer)
+    name, sent = tokenizer.digest, spark.sparkContext.broadcast(tokenizer)
 
     def run(data: pd.Series) -> pd.Series:
         coder = _coder(name, sent)
@@ -107,7 +110,7 @@ def encoder(spark, tokenizer: Tokenizer):
 
 
 def decoder(spark, tokenizer: Tokenizer):
-    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(tokenizer)
+    name, sent = tokenizer.digest, spark.sparkContext.broadcast(tokenizer)
 
     def run(ids: pd.Series) -> pd.Series:
         coder = _coder(name, sent)
@@ -135,6 +138,26 @@ def encode_native(text: Column, tokenizer: Tokenizer) -> Column:
     return F.when(chars == "", F.array().cast("array<int>")).otherwise(F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), token_of_column))
 
 
+def encode_distinct(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str = "text") -> DataFrame:
+    """key, token_ids by relational steps: pieces, each distinct piece encoded once, joined back and put in order.
+
+    A check of the narrow encoder, and a way to encode where pieces repeat across many machines; a piece that is in more
+    than 1 in 4,096 places is broadcast with its ids and not shuffled. An empty text has no ids.
+    """
+    rows = docs.select(F.col(key), F.posexplode_outer(pieces(latin(F.col(text)))).alias("pos", "piece"))
+    counted = rows.filter("piece is not null").groupBy("piece").agg(F.count("*").alias("n"))
+    coded = counted.select("piece", "n", encoder(docs.sparkSession, tokenizer)(F.encode("piece", "ISO-8859-1")).alias("ids"))
+    kept, _ = written(coded, "pieces")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(kept.filter(F.col("n") * 4096 > total).select(F.col("piece").alias("_often"), F.col("ids").alias("_often_ids")))
+    seldom = kept.filter(F.col("n") * 4096 <= total).select(F.col("piece").alias("_seldom"), F.col("ids").alias("_seldom_ids"))
+    rows = rows.join(often, F.col("piece") == F.col("_often"), "left")
+    spread = F.when(F.col("_often").isNull(), F.col("piece")).otherwise(F.concat(F.lit("\u0100"), F.xxhash64(key, "pos").cast("string")))  # bytes end at U+00FF
+    joined = rows.withColumn("_sought", spread).join(seldom, F.col("_sought") == F.col("_seldom"), "left").withColumn("ids", F.coalesce("_often_ids", "_seldom_ids"))
+    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("r"))
+    return grouped.select(key, F.flatten(F.transform("r", lambda r: r.ids)).alias("token_ids"))
+
+
 def decode_join(encoded: DataFrame, tokenizer: Tokenizer, key: str, ids: str = "token_ids") -> DataFrame:
     """Decoding by a join with the vocabulary: key, decoded binary. Unknown ids raise."""
     vocab = F.broadcast(tokenizer.vocab_table(encoded.sparkSession).select("id", "bytes"))

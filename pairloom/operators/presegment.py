@@ -53,9 +53,9 @@ def lossless(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 
 def special_spans(segment: Column, special: SpecialTokens = SPECIAL) -> Column:
-    """A segment cut into aliases and what stands between them."""
+    """A segment cut into aliases and what stands between them (possessive, so that a long segment takes no stack)."""
     alias = special.alternation()
-    return F.regexp_extract_all(segment, F.lit(rf"(?s)(?:{alias})|(?:(?!{alias}).)+"), F.lit(0))
+    return F.regexp_extract_all(segment, F.lit(rf"(?s)(?:{alias})|(?:(?!{alias}).)++"), F.lit(0))
 
 
 def statistics(docs: DataFrame, text: str = "text", special: SpecialTokens = SPECIAL) -> DataFrame:

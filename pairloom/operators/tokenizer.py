@@ -53,6 +53,13 @@ class Tokenizer:
     def sequence_bytes(self) -> bytes:
         return b"".join(struct.pack("<III", *m) for m in self.merges)
 
+    @cached_property
+    def digest(self) -> str:
+        """Of everything that decides ids and bytes; workers keep what they know of a tokenizer under it."""
+        own = hashlib.sha256(self.sequence_bytes())
+        own.update(repr((self.special.canonical, self.special.aliases)).encode())
+        return own.hexdigest()
+
     def sequence_sha256(self) -> str:
         return hashlib.sha256(self.sequence_bytes()).hexdigest().upper()
 
@@ -77,10 +84,11 @@ def base_vocab(special: SpecialTokens = SPECIAL) -> tuple[bytes, ...]:
 
 
 def merge_faults(merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Rows (ordinal, fault) of a merge table that break a rule; empty if it is sound. One join with the vocabulary."""
+    """Rows (ordinal, fault) of a merge table that break a rule; empty if it is sound. Three joins with the vocabulary (131,072 tokens at most)."""
     repeats = Window.partitionBy("a", "b").orderBy("ordinal")
-    text = F.map_from_entries(F.collect_list(F.struct("id", "bytes")))
-    rows = merges.withColumn("again", F.row_number().over(repeats) > 1).crossJoin(F.broadcast(vocab.agg(text.alias("v"))))  # one row of at most 131,072 tokens
-    fault = F.when(F.col("merged") != F.col("ordinal") + BASE, "NonSequentialMerge").when((F.col("a") >= F.col("merged")) | (F.col("b") >= F.col("merged")), "MergeOperandOutOfRange")
-    fault = fault.when(F.col("again"), "DuplicateMerge").when(~F.concat(F.col("v")[F.col("a")], F.col("v")[F.col("b")]).eqNullSafe(F.col("v")[F.col("merged")]), "ReconstructionMismatch")
+    rows = merges.withColumn("again", F.row_number().over(repeats) > 1)
+    for name in ("a", "b", "merged"):
+        rows = rows.join(F.broadcast(vocab.select(F.col("id").alias(f"_{name}"), F.col("bytes").alias(f"{name}_bytes"))), F.col(name) == F.col(f"_{name}"), "left")
+    fault = F.when(F.col("merged") != F.col("ordinal") + BASE, "NonSequentialMerge").when(~F.col("a").between(N_SPECIAL, F.col("merged") - 1) | ~F.col("b").between(N_SPECIAL, F.col("merged") - 1), "MergeOperandOutOfRange")
+    fault = fault.when(F.col("again"), "DuplicateMerge").when(~F.concat("a_bytes", "b_bytes").eqNullSafe(F.col("merged_bytes")), "ReconstructionMismatch")
     return rows.select("ordinal", fault.alias("fault")).filter("fault is not null")
