@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pairloom.errors import ArtifactError, CodecError, ManifestError, RunError, TokenError
 from pairloom.functions import tokens as T
 from pairloom.operators import packing, presegment
-from pairloom.operators.codec import Coder, EncodedDocument, Limits, decode_join, decoder, encode_native, encoder
+from pairloom.operators.codec import Coder, EncodedDocument, Limits, decode_join, decoder, encode_distinct, encode_native, encoder
 from pairloom.operators.stats import symbol_words, word_counts
 from pairloom.operators.tokenizer import Tokenizer
-from pairloom.operators.train import TrainConfig, train, train_rounds, train_words
+from pairloom.operators.train import TrainConfig, TrainingStats, train, train_rounds, train_with_stats, train_words
 from pairloom.sources import artifacts, manifest, publish
 
 
@@ -228,6 +228,26 @@ def test_admission(spark, tmp_path):
     fails("InvalidField", enabled=False)
     fails("HashMismatch", sha256="0" * 64)
     fails("FileMetadataMismatch", bytes=4)
+    tokenizer, _ = train(got.files, TrainConfig(277), text="content")
+    assert tokenizer.vocab[276] == b"aa"
+    (root / "b.txt").write_bytes(b"zz\n")  # changed after it was admitted
+    with pytest.raises(ManifestError) as e:
+        train(got.files, TrainConfig(278), text="content")
+    assert e.value.kind == "HashMismatch"
+    (root / "b.txt").write_bytes(b"aa\nzz\n")
+    with pytest.raises(ManifestError) as e:
+        train(got.files, TrainConfig(278, strategy="rounds"), text="content")
+    assert e.value.kind == "FileMetadataMismatch"
+    (root / "b.txt").unlink()
+    with pytest.raises(ManifestError) as e:
+        train(got.files, TrainConfig(278), text="content")
+    assert e.value.kind == "Io"
+    (root / "b.txt").write_bytes(b"aa\n")
+    os.symlink(root, tmp_path / "way")
+    for roots, kind in (({"r": str(tmp_path / "way")}, "PathRejected"), ({"r": str(tmp_path / "none")}, "Io")):
+        with pytest.raises(ManifestError) as e:
+            manifest.admit(spark, put(tmp_path, wire), roots)
+        assert e.value.kind == kind
     (root / ".hidden").write_bytes(b"x")
     with pytest.raises(ManifestError, match="FileSetMismatch"):
         manifest.admit(spark, put(tmp_path, wire), {"r": str(root)})
@@ -241,8 +261,26 @@ def test_admission(spark, tmp_path):
         manifest.admit(spark, str(tmp_path / "manifest.json"), {"r": str(root)})
 
 
+def test_admission_of_odd_names_and_parts(spark, tmp_path):
+    texts = {".h.txt": b"one\ntwo\n", "_a.txt": b"", "b[1].txt": b"x" * 50 + b"\n" + b"last", "c*.txt": "é\n".encode() * 40}
+    root, entries, wire = corpus(tmp_path, manifest.COMPOSITE, [(n, f, texts[n]) for n, f in zip(sorted(texts), manifest.FAMILIES)])
+    wire["entries"].append(dict(entries[-1], ordinal=5, relative_path="d.txt", family="scripture"))
+    (root / "d.txt").write_bytes(texts["c*.txt"])
+    got = manifest.admit(spark, put(tmp_path, wire), {"r": str(root)})
+    assert {r.relative_path: bytes(r.content) for r in got.files.collect()} == texts | {"d.txt": texts["c*.txt"]}
+    parts = manifest.contents(spark, list(got.entries), {"r": str(root)}, piece=16).orderBy("ordinal", "part").collect()
+    assert len(parts) > 10 and all(bytes(r.content).endswith(b"\n") for r, s in zip(parts, parts[1:]) if r.ordinal == s.ordinal)
+    whole = {}
+    for r in parts:
+        whole[r.relative_path] = whole.get(r.relative_path, b"") + bytes(r.content)
+    assert whole == texts | {"d.txt": texts["c*.txt"]}
+    (root / "c*.txt").write_bytes(texts["c*.txt"][:-2] + b"\xff\n")
+    bad = {r.relative_path: r.fault for r in manifest.verified(spark, list(got.entries), {"r": str(root)}).collect()}
+    assert bad == {n: None for n in texts} | {"d.txt": None, "c*.txt": "HashMismatch"}
+
+
 def test_runs_are_equal_and_tampering_shows(spark, tmp_path):
-    from pairloom.plans.runs import compare_runs, run_pipeline
+    from pairloom.plans.runs import compare_runs, run_pipeline, validate_run
 
     root, _, wire = corpus(tmp_path, manifest.SINGLE, [("wikitext.txt", "wikitext", b"aa aa aa\ndeterministic demo words words\n")])
     at = put(tmp_path, wire)
@@ -251,11 +289,161 @@ def test_runs_are_equal_and_tampering_shows(spark, tmp_path):
     assert runs[0] == runs[1] == compare_runs(spark, str(tmp_path / "x"), str(tmp_path / "y"))
     with pytest.raises(RunError):
         run_pipeline(spark, at, {"r": str(root)}, str(tmp_path / "x"), 300, source, b"")
+    assert not [n for n in os.listdir(tmp_path) if n.endswith(".part")]
+    with pytest.raises(RunError, match="SameRun"):
+        compare_runs(spark, str(tmp_path / "x"), str(tmp_path / "x"))
+    with pytest.raises(RunError, match="RoundTripMismatch"):
+        run_pipeline(spark, at, {"r": str(root)}, str(tmp_path / "z"), 300, source, b"</AI>")
+    assert not (tmp_path / "z").exists()
+
+    def rewritten(name, change):
+        path = tmp_path / "y" / name
+        held = path.read_bytes()
+        document = json.loads(held)
+        change(document)
+        path.write_bytes(publish.canonical(document))
+        with pytest.raises(RunError) as e:
+            validate_run(spark, str(tmp_path / "y"))
+        path.write_bytes(held)
+        return str(e.value)
+
+    assert rewritten("run_manifest.json", lambda d: d["training"].update(loaded_tokens=0)) == "RunMismatch: training"
+    assert rewritten("run_manifest.json", lambda d: d["source"].update(commit="x")) == "RunMismatch: source"
+    assert rewritten("run_manifest.json", lambda d: d["source"].update(commit="c" * 40)) == "RunMismatch: provenance"
+    assert rewritten("run_manifest.json", lambda d: d["package"]["vocab"].update(payload_bytes=1)) == "RunMismatch: artifacts"
+    assert rewritten("run_manifest.json", lambda d: d["round_trip"].update(token_count=1)) == "RunMismatch: round_trip"
+    assert rewritten("run_manifest.json", lambda d: d["corpus"].update(admitted_files=2)) == "RunMismatch: corpus"
+    assert rewritten("run_manifest.json", lambda d: d.update(more=1)) == "UnknownField: run_manifest.json"
+    assert rewritten("train_config.json", lambda d: d.update(min_frequency=3)) == "RunMismatch: config"
+    assert rewritten("probe_assertion.json", lambda d: d.update(status="passed")) == "RunMismatch: gates"
+    assert rewritten("final_validation.json", lambda d: d.update(round_trip_sha256="A" * 64)) == "RunMismatch: final"
+    (tmp_path / "y" / "more").write_bytes(b"")
+    with pytest.raises(RunError, match="TopologyMismatch"):
+        validate_run(spark, str(tmp_path / "y"))
+    (tmp_path / "y" / "more").unlink()
     (tmp_path / "y" / "input.bin").write_bytes(b"other")
     with pytest.raises(RunError):
         compare_runs(spark, str(tmp_path / "x"), str(tmp_path / "y"))
 
 
+def test_source_authority_and_composite_run(spark, tmp_path, capsys):
+    import subprocess
+
+    from pairloom.cli import main
+    from pairloom.plans.runs import source_authority
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    git = lambda *args: subprocess.run(["git", "-C", str(repo), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+    git("init", "-q")
+    (repo / "f.txt").write_bytes(b"code\n")
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    found = source_authority(str(repo))
+    line = f"{hashlib.sha256(b'code' + chr(10).encode()).hexdigest()}  5  f.txt\n"
+    assert found.tracked_sha256 == hashlib.sha256(line.encode()).hexdigest().upper() and len(found.commit) == len(found.tree) == 40
+    files = [("a.txt", "identity", b"aa\n"), ("b.txt", "scripture", b"bb\n"), ("c.txt", "wikitext", b"aa\n"), ("d.txt", "bookcorpus", b"cc\n")]
+    root, _, wire = corpus(tmp_path, manifest.COMPOSITE, files)
+    (tmp_path / "probe").write_bytes(b"aabb")
+    args = ["pipeline", "--manifest", put(tmp_path, wire), "--roots", f"r={root}", "--vocab-size", "277", "--input", str(tmp_path / "probe"), "--repo", str(repo), "--profile", "composite", "--weights", "scripture=9000"]
+    assert main([*args, "--run-root", str(tmp_path / "run")]) == 0 and "PASS" in capsys.readouterr().out
+    assert publish.load_package(str(tmp_path / "run" / "package")).vocab[276] == b"bb"
+    (repo / "g.txt").write_bytes(b"new")
+    assert main([*args, "--run-root", str(tmp_path / "other")]) == 3 and not (tmp_path / "other").exists()
+    assert main([*args, "--run-root", str(tmp_path / "other"), "--commit", "x"]) == 2 and main([*args[:-1], "scripture=0", "--run-root", "x"]) == 2
+
+
+def test_package_manifest_faults(tmp_path):
+    publish.write_package(Tokenizer.from_merges([(52, 136)]), str(tmp_path / "p"), CONTEXT)
+    path = tmp_path / "p" / "package_manifest.json"
+    held = path.read_bytes()
+
+    def fails(change):
+        wire = json.loads(held)
+        change(wire)
+        path.write_bytes(publish.canonical(wire))
+        with pytest.raises(ArtifactError) as e:
+            publish.load_package(str(tmp_path / "p"))
+        return str(e.value)
+
+    assert fails(lambda w: w["format"].update(minor=1)) == "InvalidManifest: format"
+    assert fails(lambda w: w["readback"].update(paired_validation=False)) == "InvalidManifest: readback"
+    assert fails(lambda w: w["counts"].update(merge_count=2)) == "InvalidManifest: counts"
+    assert fails(lambda w: w["artifacts"][0].update(file_bytes=1)) == "InvalidManifest: artifacts vocab"
+    assert fails(lambda w: w["artifacts"][1].update(payload_bytes=13, file_bytes=141)) == "InvalidManifest: artifacts merges"
+    assert fails(lambda w: w["artifacts"][1].update(file_sha256="0" * 64)) == "InvalidManifest: artifacts merges"
+    assert fails(lambda w: w["artifacts"][0].update(sequence_sha256="A" * 64)) == "InvalidManifest: sequence_sha256"
+    assert fails(lambda w: w["artifacts"][0].update(payload_sha256="A" * 64)) == "PayloadDigestMismatch"
+    assert fails(lambda w: w["provenance"].update(extra="x")) == "InvalidManifest: provenance"
+    assert fails(lambda w: w.update(extra=1)) == "InvalidManifest: fields"
+    path.write_bytes(held)
+    os.symlink(tmp_path / "p", tmp_path / "link")
+    with pytest.raises(ArtifactError, match="InvalidPublicationPath"):
+        publish.load_package(str(tmp_path / "link"))
+    m = publish.measure(publish.load_package(str(tmp_path / "p")))
+    assert (m["vocab_records"], m["merge_payload_bytes"], m["max_token_bytes"]) == (277, 12, 19)
+
+
+def test_publication_leaves_nothing_half_done(tmp_path, monkeypatch):
+    t = Tokenizer.from_merges([(52, 136)])
+    for step in ("read_pair", "inspect"):
+        with monkeypatch.context() as m:
+            m.setattr(publish.artifacts, step, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped")))
+            with pytest.raises(RuntimeError):
+                publish.write_package(t, str(tmp_path / "p"), CONTEXT)
+        assert os.listdir(tmp_path) == []
+    real = publish._rename_new
+    monkeypatch.setattr(publish, "_rename_new", lambda a, b: (os.mkdir(b), real(a, b)))  # another takes the name meanwhile
+    with pytest.raises(ArtifactError, match="DestinationExists"):
+        publish.write_package(t, str(tmp_path / "p"), CONTEXT)
+    assert os.listdir(tmp_path) == ["p"] and os.listdir(tmp_path / "p") == []
+
+
+def test_stats_of_training(spark):
+    stats = train_with_stats(docs(spark, b"aa aa\n\n<AI>\nbb"), TrainConfig(278, 1))[2]
+    assert stats == TrainingStats(loaded_sequences=2, skipped_lines=2, loaded_tokens=7, unique_words=3, learned_merges=2, final_vocab=278)
+
+
+def test_cluster_needs_a_shared_folder():
+    from pairloom.operators import written
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        written.shared_dir(Session)
+
+
+def test_queries_against_sql(spark, tmp_path_factory):
+    """Every query with SQL, on a small folder with empty texts, odd bytes and no row for some documents."""
+    import duckdb
+
+    from pairloom.plans.queries import ORACLES, QUERIES
+
+    rng, folder = random.Random(9), tmp_path_factory.mktemp("tables")
+    words = ["the", "a", "word", "  two", "é", "x\tq", "\n", "ab"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))), rng.choice(["en", "de", "fr", "es"]), f"src{i % 3}", 0) for i in range(130)]
+    rows += [(130, "", "en", "src1", 0), (131, None, "de", "src0", 0), (132, "\n\n", "fr", "src2", 0), (133, "w" * 3000, "es", "src1", 0)]
+    tables = {
+        "documents": (rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(i, 1, 0) for i in range(3, 140)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(i, f"item {i} " + " ".join(rng.choice(words) for _ in range(20))) for i in range(16)], "item_id long, text string"),
+        "lineitem": ([(i % 7, i) for i in range(50)], "l_linenumber int, l_suppkey int"),
+    }
+    con = duckdb.connect()
+    for name, (own, schema) in tables.items():
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    assert set(ORACLES) == set(QUERIES)
+    for name, sql in ORACLES.items():
+        found = con.execute(sql)
+        names = [d[0] for d in found.description]
+        got = QUERIES[name](spark, str(folder))
+        assert sorted(got.columns) == sorted(names), name
+        assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == sorted(map(str, found.fetchall())), name
+
+
 def test_cli(tmp_path):
     from pairloom.cli import main
 
@@ -281,11 +469,22 @@ def test_sql_functions_and_packing(spark):
     t.merge_table(spark).createOrReplaceTempView("m")
     assert spark.sql("SELECT bpe_sequence_digest(ordinal, a, b, merged) AS x FROM m").first().x == t.sequence_sha256()
     e = spark.createDataFrame([(i, [20 + i] * i) for i in range(6)], "k int, token_ids array<int>")
-    starts = {r.k: r.start for r in packing.offsets(e, "k", buckets=3).collect()}
+    whole, packing.RANGE_ROWS = packing.RANGE_ROWS, 2
+    try:
+        starts = {r.k: r.start for r in packing.offsets(e, "k").collect()}
+    finally:
+        packing.RANGE_ROWS = whole
     assert starts == {0: 0, 1: 1, 2: 3, 3: 6, 4: 10, 5: 15}
     rows = [list(r.row) for r in packing.pack(e, "k", window=8).orderBy("window_no").collect()]
     flat = [x for i in range(6) for x in [20 + i] * i + [3]]
     assert sum(rows, [])[: len(flat)] == flat and all(len(r) == 8 for r in rows)
+    long = spark.createDataFrame([(0, [7]), (1, list(range(100, 130))), (2, []), (3, [8, 9])], "k int, token_ids array<int>")
+    flat = [7, 3, *range(100, 130), 3, 3, 8, 9, 3]
+    got = {r.window_no: list(r.row) for r in packing.pack(long, "k", window=8).collect()}
+    assert got == {i // 8: (flat[i : i + 8] + [0] * 8)[:8] for i in range(0, len(flat), 8) if len(flat[i : i + 8]) >= 2}
+    twice = packing.repeated(long.withColumn("n", F.col("k") % 2 + 1), "k", F.col("n"), F.col("n")).orderBy("k").collect()
+    assert [list(r.token_ids) for r in twice] == [[7], [], list(range(100, 130)), [8, 9], list(range(100, 130)), [8, 9]]
+    assert packing.repeated(long, "k", F.lit(0)).count() == 0 and packing.pack(long.limit(0), "k").count() == 0
     assert packing.calibrate({"a": 10, "b": 20}, {"a": 5000, "b": 5000}) == {"a": 2000, "b": 1000}
 
 
@@ -297,14 +496,59 @@ def test_documents_are_packed_and_decoded_by_join(spark, tmp_path):
     tokenizer = queries._tokenizer(spark, str(tmp_path))
     coder, stream = Coder(tokenizer), []
     for t in texts:
-        stream += [*coder.encode(t.encode()), packing.EOS] if t else []
+        stream += [*coder.encode(t.encode()), packing.EOS] if t is not None else []
     windows = [stream[i : i + 256] for i in range(0, len(stream), 256)]
     expected = {i: [*w, *[0] * (256 - len(w))] for i, w in enumerate(windows) if len(w) >= 64}
-    assert len(windows) > 20 and {r.window_no: list(r.row) for r in queries.QUERIES["pack_windows"](spark, str(tmp_path)).collect()} == expected
+    assert len(windows) > 20 and {r.window_no: [int(i) for i in r.ids.split()] for r in queries.QUERIES["pack_windows"](spark, str(tmp_path)).collect()} == expected
     back = {r.doc_id: r.text for r in queries.QUERIES["decode_documents_by_join"](spark, str(tmp_path)).collect()}
     assert back == {i: t for i, t in enumerate(texts) if t is not None}
 
 
+def test_packed_corpus_file(spark, tmp_path):
+    t = Tokenizer.from_merges([(117, 118)])
+    e = spark.createDataFrame([(i, [20 + i % 200] * (i % 40)) for i in range(90)], "k long, token_ids array<int>")
+    windows = packing.pack(e, "k", window=16)
+    metas = [packing.write_corpus(windows.repartition(n), str(tmp_path / str(n)), t, {"a": 3, "b": 1}, seed=5, window=16) for n in (1, 4)]
+    assert metas[0] == metas[1] and (tmp_path / "1" / "corpus.bin").read_bytes() == (tmp_path / "4" / "corpus.bin").read_bytes()
+    meta, rows = packing.read_corpus(str(tmp_path / "1"))
+    assert rows.dtype == "<u2" and sorted(map(tuple, rows.tolist())) == sorted(tuple(r.row) for r in windows.collect())
+    assert meta["seq_count"] == len(rows) and meta["tier_breakdown"] == {"a": 80, "b": 27}  # each rounded
+    with pytest.raises(ArtifactError, match="DestinationExists"):
+        packing.write_corpus(windows, str(tmp_path / "1"), t, window=16)
+    (tmp_path / "1" / "corpus.bin").write_bytes(b"xx")
+    with pytest.raises(RunError, match="HashMismatch"):
+        packing.read_corpus(str(tmp_path / "1"))
+
+
+def test_distinct_encoding_and_long_segments(spark):
+    rng = random.Random(4)
+    t = Tokenizer.from_merges([(117, 118), (52, 117)])
+    texts = [b" ".join(rng.choice([b"ab", b"abab", b"c", b"<AI>x", b"\xff"]) for _ in range(rng.randrange(40))) for _ in range(50)] + [b"", b"\r\n\n", b"q" * 40_000 + b"<AI>"]
+    rows = encode_distinct(docs(spark, *texts), t, "doc_id").collect()
+    assert {r.doc_id: list(r.token_ids) for r in rows} == {i: Coder(t).encode(x) for i, x in enumerate(texts)}
+    assert list(docs(spark, texts[-1]).select(encode_native(F.col("text"), t).alias("x")).first().x) == Coder(t).encode(texts[-1])
+
+
+def test_directory_scan(spark, tmp_path):
+    names = {"x_annotated.md": 3, "z.json": 1, "notes.txt": 4, "Iteration_1.TXT": 2, "Dylan_chat.md": 5, "wikitext_extracted/p.txt": 6, "blu.txt": 7}
+    for name, size in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    files, found = manifest.scan_directory(spark, str(tmp_path))
+    assert [(os.path.basename(r.path), r.tier, r.weight) for r in files.collect()] == [("Iteration_1.TXT", "scripture", 3000), ("blu.txt", "identity", 5000), ("p.txt", "foundation", 1000), ("x_annotated.md", "identity", 5000)]
+    assert found == {"total_files": 4, "skipped_files": 2, "total_bytes": 18, "foundation": 1, "scripture": 1, "identity": 2}
+    with pytest.raises(ManifestError):
+        manifest.scan_directory(spark, str(tmp_path / "none"))
+
+
+def test_exports():
+    import pairloom
+
+    assert all(getattr(pairloom, name) is not None for name in pairloom.__all__) and callable(pairloom.encode) and callable(pairloom.decode)
+    with pytest.raises(AttributeError):
+        pairloom.nothing
+
+
 def test_streaming(spark, tmp_path):
     from pairloom.streaming.encode import encode_stream
 
