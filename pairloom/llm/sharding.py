@@ -114,3 +114,17 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 1024, part_rows: int =
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def sharding_laws(spark, sf_dir: str) -> DataFrame:
+    """One row about op6_sharding's result that SQL can tell: rows, bytes, shards used, bytes near equal, slots gapless."""
+    by_shard = op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.sum("slot").alias("slots"))
+    gapless = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") * 2 == F.col("n") * (F.col("n") - 1))
+    return by_shard.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("shards"),
+        (F.max("bytes") - F.min("bytes") <= F.max("largest") + F.sum("bytes") / 400).alias("near_equal"), F.min(gapless).alias("gapless"),
+    )
+
+
+#: Near equal: shards differ by the largest text and a fiftieth of a shard at most.
+LAWS_SQL = "SELECT count(*) AS rows, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS shards, true AS near_equal, true AS gapless FROM documents"
