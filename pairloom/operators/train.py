@@ -1,8 +1,8 @@
 """Weighted pair-merge training.
 
-``rounds``: pair counts are a written table; a round applies the longest run of best pairs that share no symbol (a pair of
-equal symbols only as its last), which gives the merges of one-at-a-time training, and adds to the table what changes in the
-segments that hold one of the pairs. ``collect``: Spark counts the segments, the driver merges over arrays of their symbols
+``rounds``: a round applies the longest run of best pairs that share no symbol (a pair of equal symbols only as its last), which
+gives the merges of one-at-a-time training, and adds to the pair counts what changes in the segments that hold one of the pairs.
+The counts are with the driver while they are few, else a written table. ``collect``: Spark counts the segments, the driver merges over arrays of their symbols
 with incremental pair counts. ``auto`` collects while the arrays fit in ``driver_bytes`` and works in rounds beyond.
 """
 
@@ -22,6 +22,7 @@ from .stats import SCALE, pair_counts, symbol_words, top_pairs, word_counts
 from .tokenizer import Tokenizer
 from .written import remove, written
 
+HELD_PAIRS = 1 << 21  # pair counts that the driver holds in rounds
 SYMBOL_BYTES = 64  # the driver's arrays, for each symbol of a distinct segment
 
 
@@ -69,16 +70,57 @@ def batch(ranked: list[tuple[str, int]], threshold: int, room: int) -> list[tupl
     return out
 
 
+class _PairCounts:
+    """Counts of pairs: on the driver while there are at most ``HELD_PAIRS``, else a written table."""
+
+    def __init__(self, counts: DataFrame):
+        self.spark, self.held, self.path = counts.sparkSession, None, None
+        self._write(counts)
+        if self.table.count() <= HELD_PAIRS:
+            rows = self.table.toArrow()
+            self.held = dict(zip(rows["pair"].to_pylist(), rows["n"].to_pylist()))
+            self.close()
+
+    def _write(self, counts: DataFrame) -> None:
+        after, to = written(counts, "pairs")
+        self.close()  # only now: ``counts`` may read it
+        self.table, self.path, self.held = after, to, None
+
+    def close(self) -> None:
+        if self.path:
+            remove(self.spark, self.path)
+            self.path = None
+
+    def top(self, k: int) -> list[tuple[str, int]]:
+        if self.held is None:
+            return [(r.pair, r.n) for r in top_pairs(self.table, k).collect()]
+        return heapq.nsmallest(k, self.held.items(), key=lambda x: (-x[1], x[0]))
+
+    def add(self, less: DataFrame, more: DataFrame) -> None:
+        change = less.select("pair", (-F.col("n")).alias("n")).unionByName(more).groupBy("pair").agg(F.sum("n").alias("n")).filter("n <> 0")
+        if self.held is not None:
+            rows = change.limit(HELD_PAIRS + 1).toArrow()
+            if rows.num_rows + len(self.held) <= HELD_PAIRS:
+                for pair, n in zip(rows["pair"].to_pylist(), rows["n"].to_pylist()):
+                    n += self.held.get(pair, 0)
+                    if n > 0:
+                        self.held[pair] = n
+                    else:
+                        del self.held[pair]
+                return
+            self._write(self.spark.createDataFrame(list(self.held.items()), "pair string, n long"))
+        self._write(self.table.unionByName(change).groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"))
+
+
 def train_rounds(words: DataFrame, target: int, threshold: int, look: int = 64, one_by_one: bool = False) -> list[Merge]:
     """words: (sym, freq)."""
     spark = words.sparkSession
     merges: list[Merge] = []
     now, path = written(words.filter(F.length("sym") > 1), "train")
-    counts, counts_at = written(pair_counts(now), "pairs")
+    counts = _PairCounts(pair_counts(now))
     pending = 0
     while BASE + len(merges) < target:
-        ranked = [(r.pair, r.n) for r in top_pairs(counts, 1 if one_by_one else look).collect()]
-        chosen = batch(ranked, threshold, target - BASE - len(merges))
+        chosen = batch(counts.top(1 if one_by_one else look), threshold, target - BASE - len(merges))
         if not chosen:
             break
         old: Column = F.col("sym")
@@ -90,18 +132,14 @@ def train_rounds(words: DataFrame, target: int, threshold: int, look: int = 64,
         if BASE + len(merges) >= target:
             break
         touched = now.filter(held)
-        less = pair_counts(touched).select("pair", (-F.col("n")).alias("n"))
-        changed = counts.unionByName(less).unionByName(pair_counts(touched.select(new.alias("sym"), "freq")))
-        after, after_at = written(changed.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs")
-        remove(spark, counts_at)
-        counts, counts_at = after, after_at
+        counts.add(pair_counts(touched), pair_counts(touched.select(new.alias("sym"), "freq")))
         now, pending = now.select(new.alias("sym"), "freq").filter(F.length("sym") > 1), pending + len(chosen)
         if pending >= 24:
             after, to = written(now, "train")
             remove(spark, path)
             now, path, pending = after, to, 0
     remove(spark, path)
-    remove(spark, counts_at)
+    counts.close()
     return merges
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.errors import ArtifactError, CodecError, ManifestError, RunError, TokenError
 from pairloom.functions import tokens as T
 from pairloom.operators import packing, presegment
+from pairloom.operators import train as train_module
 from pairloom.operators.codec import Coder, EncodedDocument, Limits, decode_join, decoder, encode_distinct, encode_native, encoder
 from pairloom.operators.stats import symbol_words, word_counts
 from pairloom.operators.tokenizer import Tokenizer
@@ -97,7 +98,7 @@ def test_round_trip_and_native(spark):
         assert bytes(r.d) == joined[r.doc_id] == bytes(r.text).replace(b"</AI>", b"<AI>")
 
 
-def test_trainers_agree(spark):
+def test_trainers_agree(spark, monkeypatch):
     rng = random.Random(5)
     symbols = [T.symbol(117 + i) for i in range(14)]
     for trial in range(60):
@@ -107,7 +108,10 @@ def test_trainers_agree(spark):
         assert [(m.a, m.b, m.count) for m in train_words(list(words.items()), 306, 1000)] == expected
         if trial < 4:
             table = spark.createDataFrame(list(words.items()), "sym string, freq long")
-            assert [(m.a, m.b, m.count) for m in train_rounds(table, 290, 1000)] == expected[:14]
+            for held in (train_module.HELD_PAIRS, 3):  # counts on the driver, and in a table
+                with monkeypatch.context() as m:
+                    m.setattr(train_module, "HELD_PAIRS", held)
+                    assert [(m.a, m.b, m.count) for m in train_rounds(table, 290, 1000)] == expected[:14]
     a, c, d = symbols[0], symbols[2], symbols[3]
     fixed = [(a * 3, 10_000), (c + d, 5_000)]
     assert [(m.a, m.b) for m in train_rounds(spark.createDataFrame(fixed, "sym string, freq long"), 279, 1000)] == [(x, y) for x, y, _ in naive(fixed, 279, 1000)]
