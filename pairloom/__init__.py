@@ -8,7 +8,7 @@ _EXPORTS = {
     "errors": ("ArtifactError", "CodecError", "EngineError", "ManifestError", "RunError", "SourceError", "TokenError"),
     "functions.sql": ("register",),
     "functions.tokens": ("ALIASES", "BASE", "CANONICAL", "MAX_VOCAB", "N_SPECIAL", "SPECIAL", "SpecialTokens", "allocate", "byte_token", "check_id", "check_target", "pair_key", "pair_key_column"),
-    "operators.codec": ("Coder", "EncodedDocument", "Limits", "decode_join", "decoder", "encode_distinct", "encode_native", "encoder", "evidence"),
+    "operators.codec": ("Coder", "EncodedDocument", "Limits", "bound_documents", "decode_join", "decoder", "encode_distinct", "encode_native", "encoder", "evidence", "unbound_documents"),
     "operators.packing": ("calibrate", "offsets", "pack", "read_corpus", "repeated", "write_corpus"),
     "operators.presegment": ("lines", "lossless", "segments", "special_spans", "statistics"),
     "operators.stats": ("family_weight", "opportunity", "pair_counts", "symbol_words", "top_pairs", "word_counts"),

@@ -172,6 +172,38 @@ def evidence(decoded: Column) -> tuple[Column, Column]:
     return F.octet_length(decoded).cast("long"), F.upper(F.sha2(decoded, 256))
 
 
+#: The wire form of a bound document, in order.
+WIRE = "schema string, token_id_width string, tokenizer struct<vocab_size:int, merge_count:bigint, sequence_sha256:string>, decoded_bytes bigint, decoded_sha256 string, token_count bigint, token_ids array<int>"
+
+
+def bound_documents(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str = "text") -> DataFrame:
+    """key, line: each document's canonical JSON line, its ids bound to the tokenizer and to the bytes they stand for."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key), encoder(spark, tokenizer)(F.col(text)).alias("token_ids"))
+    rows = rows.select(key, "token_ids", decoder(spark, tokenizer)("token_ids").alias("_decoded"))
+    size, digest = evidence(F.col("_decoded"))
+    binding = F.struct(F.lit(len(tokenizer.vocab)).alias("vocab_size"), F.lit(len(tokenizer.merges)).cast("long").alias("merge_count"), F.lit(tokenizer.sequence_sha256()).alias("sequence_sha256"))
+    wire = F.struct(F.lit(SCHEMA).alias("schema"), F.lit("u32").alias("token_id_width"), binding.alias("tokenizer"), size.alias("decoded_bytes"), digest.alias("decoded_sha256"), F.size("token_ids").cast("long").alias("token_count"), "token_ids")
+    return rows.select(key, F.concat(F.to_json(wire), F.lit("\n")).alias("line"))
+
+
+def unbound_documents(lines: DataFrame, tokenizer: Tokenizer, key: str, line: str = "line") -> DataFrame:
+    """key, decoded, fault: the bytes of each line, or the class of the first check it fails, in the order of ``EncodedDocument``."""
+    w = F.from_json(F.rtrim(F.col(line), F.lit("\n")), WIRE, {"mode": "PERMISSIVE"})
+    rows = lines.select(F.col(key), F.col(line).alias("_line"), w.alias("w"))
+    missing = F.greatest(*[F.col(f"w.{name}").isNull() for name in ("schema", "token_id_width", "tokenizer", "decoded_bytes", "decoded_sha256", "token_count", "token_ids")])
+    fault = F.when(F.col("w").isNull() | missing, "Json").when(F.col("w.schema") != SCHEMA, "SchemaMismatch").when(F.col("w.token_id_width") != "u32", "TokenIdWidthMismatch")
+    fault = fault.when(F.col("w.token_count") != F.size("w.token_ids"), "TokenCountMismatch").when(~F.forall("w.token_ids", lambda i: F.coalesce((i >= 0) & (i < F.col("w.tokenizer.vocab_size")), F.lit(False))), "InvalidTokenId")
+    fault = fault.when(~F.concat(F.to_json("w"), F.lit("\n")).eqNullSafe(F.col("_line")), "Json")
+    own = F.struct(F.lit(len(tokenizer.vocab)), F.lit(len(tokenizer.merges)).cast("long"), F.lit(tokenizer.sequence_sha256()))
+    fault = fault.when(~F.struct("w.tokenizer.vocab_size", "w.tokenizer.merge_count", "w.tokenizer.sequence_sha256").eqNullSafe(own), "TokenizerBindingMismatch")
+    rows = rows.withColumn("_fault", fault).withColumn("_decoded", decoder(lines.sparkSession, tokenizer)(F.when(fault.isNull(), F.col("w.token_ids"))))
+    size, digest = evidence(F.col("_decoded"))
+    late = F.when(size != F.col("w.decoded_bytes"), "DecodedLengthMismatch").when(digest != F.col("w.decoded_sha256"), "DecodedDigestMismatch")
+    rows = rows.select(key, "_decoded", F.coalesce("_fault", late).alias("fault"))
+    return rows.select(key, F.when(F.col("fault").isNull(), F.col("_decoded")).alias("decoded"), "fault")
+
+
 @dataclass(frozen=True)
 class EncodedDocument:
     """A document's ids bound to their tokenizer and to the bytes they stand for."""

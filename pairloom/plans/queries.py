@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import register
 from ..functions.tokens import BASE, SPECIAL, pair_key_column
 from ..operators import packing
-from ..operators.codec import decode_join, decoder, encode_distinct, encode_native, encoder, evidence
+from ..operators.codec import bound_documents, decode_join, decoder, encode_distinct, encode_native, encoder, evidence, unbound_documents
 from ..operators.presegment import accepted, lines, lossless, pieces, segments, special_spans, statistics
 from ..operators.stats import family_weight, opportunity, pair_counts, symbol_words, top_pairs, word_counts
 from ..operators.tokenizer import Tokenizer, merge_faults
@@ -323,6 +323,34 @@ def doc_evidence(spark, sf_dir):
     return decoded.select("doc_id", size.alias("decoded_bytes"), digest.alias("decoded_sha256"))
 
 
+SQL_BOUND = """,
+bound AS (SELECT d.doc_id, '{"schema":"pairloom_encoded_tokens_v1","token_id_width":"u32","tokenizer":{"vocab_size":286,"merge_count":10,"sequence_sha256":"' || @SEQUENCE@ || '"},"decoded_bytes":' || octet_length(encode(d.text))
+  || ',"decoded_sha256":"' || upper(sha256(d.text)) || '","token_count":' || length(t.s) || ',"token_ids":[' || array_to_string(list_transform(list_filter(string_split(t.s, ''), lambda c: c <> ''), lambda c: ord(c) - 256), ',') || ']}' || chr(10) AS line
+  FROM documents d JOIN tokens t ON d.doc_id = t.doc_id)""".replace("@SEQUENCE@", SQL_SEQUENCE)
+
+
+@query("WITH RECURSIVE " + SQL_PIECES + SQL_BOUND + " SELECT doc_id, line FROM bound")
+def bound_lines(spark, sf_dir):
+    return bound_documents(docs(spark, sf_dir, "doc_id", "text").filter("text is not null"), _tokenizer(spark, sf_dir), "doc_id")
+
+
+@query("""SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'TokenIdWidthMismatch' WHEN 2 THEN 'SchemaMismatch' WHEN 3 THEN 'TokenCountMismatch' WHEN 4 THEN 'TokenizerBindingMismatch' WHEN 5 THEN 'DecodedLengthMismatch'
+  WHEN 6 THEN 'DecodedDigestMismatch' WHEN 7 THEN 'Json' WHEN 8 THEN 'Json' END AS fault, CASE WHEN doc_id % 9 = 0 THEN text END AS text FROM documents WHERE text IS NOT NULL""")
+def bound_faults(spark, sf_dir):
+    """Bound lines, most of them changed: width, schema, count, tokenizer, length, digest, form, another field."""
+    tokenizer = _tokenizer(spark, sf_dir)
+    line, at = F.col("line"), F.col("doc_id") % 9
+    changes = (
+        ('"u32"', '"u16"'), ("_v1", "_v2"), ('"token_count":', '"token_count":9'), ('"vocab_size":286', '"vocab_size":287'), ('"decoded_bytes":', '"decoded_bytes":9'),
+        ('"decoded_sha256":"', '"decoded_sha256":"0'), ('"token_ids":[', '"token_ids": ['), ('{"schema"', '{"z":1,"schema"'),
+    )
+    changed = line
+    for i, (old, new) in enumerate(changes, 1):
+        changed = F.when(at == i, F.replace(line, F.lit(old), F.lit(new))).otherwise(changed)
+    bound = bound_documents(docs(spark, sf_dir, "doc_id", "text").filter("text is not null"), tokenizer, "doc_id")
+    return unbound_documents(bound.withColumn("line", changed), tokenizer, "doc_id").select("doc_id", "fault", F.decode("decoded", "UTF-8").alias("text"))
+
+
 @query("WITH RECURSIVE " + SQL_PIECES + " SELECT t.lang, CAST(sum(octet_length(encode(d.text))) AS BIGINT) AS bytes, CAST(sum(length(s)) AS BIGINT) AS tokens FROM tokens t JOIN documents d USING (doc_id) GROUP BY t.lang")
 def compression_by_lang(spark, sf_dir):
     encode = encoder(spark, _tokenizer(spark, sf_dir))
