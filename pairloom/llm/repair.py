@@ -2,10 +2,10 @@
 
 ``compress`` repeats rounds until no pair comes ``min_count`` times: count adjacent pairs exactly, give those at least an
 eighth as frequent as the most frequent one nonterminals, replace them, of overlapping ones the more frequent. Counts of a
-pair only fall unless a neighbour is replaced, so a round looks only at places whose pair may still be frequent. A pair never spans the end of a document, so each document owns a run of
-symbols and can be decoded alone. ``rules`` holds the two symbols of each nonterminal (smaller symbols only) and ``expansion``
-the number of ids each one stands for, which lets ``Block.ids`` skip to a position without decoding what stands before it.
-A rule takes about 7 bytes and each use of it saves about 2, so from ``MIN_COUNT`` uses on it pays.
+pair only fall unless a neighbour is replaced, so a round looks only at places whose pair may still be frequent. A pair never
+spans the end of a document, so each document owns a run of symbols and can be decoded alone. ``rules`` holds the two symbols
+of each nonterminal (smaller symbols only) and ``expansion`` the number of ids each one stands for, which lets ``Block.ids``
+skip to a position without decoding what stands before it. A rule takes about 8 bytes and each use of it saves about 2.
 
 Block file (little-endian): magic ``RPB2``; u32 terminals, rules, documents, symbols, bit planes; u64 ids; rules' symbols, both
 in a row, as wide numbers; expansion as u32; document ids i64; document id present u8; first symbol u32, first id u64 per
@@ -63,6 +63,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
     after[full - 1], before[np.r_[0, full[:-1]][: len(full)]] = -1, -1
     there, live = np.ones(len(seq), bool), after >= 0  # live: the pair that begins here may be frequent
     rules: list[np.ndarray] = []
+    at_slot = np.zeros(1 << SIEVE_BITS, np.int32)
     known = done = 0
     while rounds is None or done < rounds:
         done += 1
@@ -92,8 +93,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
         live[at[found == 0]] = False  # rarer, until a neighbour changes
         own = np.flatnonzero(found == 2)
         own_key = key[own]
-        which = np.minimum(np.searchsorted(pair, own_key), len(pair) - 1)
+        at_slot[slot(pair)] = np.arange(len(pair), dtype=np.int32)
+        which = at_slot[slot(own_key)]
         hit = pair[which] == own_key
+        other = np.flatnonzero(~hit)  # of pairs that share a slot the last one is found so, the others by search
+        which[other] = np.minimum(np.searchsorted(pair, own_key[other]), len(pair) - 1)
+        hit[other] = pair[which[other]] == own_key[other]
         at, which, second = at[own[hit]], which[hit], second[own[hit]]
         rank = np.zeros(len(pair), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(pair))

@@ -15,6 +15,7 @@ order; an empty table writes no block and gives no row; other columns are ignore
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from unicodedata import category
@@ -29,8 +30,8 @@ from . import repair
 from .common import fresh_path, keep, open_store, table, write_whole
 
 END_ID = 2
-CACHE = 1_000_000
-SLICE_BYTES = 8 << 20
+CHUNKS, PRETOKENS = 300_000, 300_000  # whose ids a worker keeps, and as many that it met before
+SLICE_BYTES = 6 << 20
 ODD = "[\x1c-\x1f]"
 _encoders: dict[str, "Encoder"] = {}
 #: Latin, Cyrillic and common punctuation: normal forms as they are, with the same lower case and classes everywhere.
@@ -46,10 +47,15 @@ class Encoder:
     """Ids of texts as little-endian u32 bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {"": b""}, {"\n": b""}  # ids of chunks, of pre-tokens
-        self.bare = Tokenizer(self.tokenizer.model)  # for pre-tokens that stand apart and need no normalising
+        self.older_known, self.older_held = {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        others = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if spec.get(k)}
+        self.bare = Tokenizer(models.BPE(spec["vocab"], merges, cache_capacity=0, **others))  # the same model without a memory of its own, for pre-tokens that stand apart and need no normalising
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -84,15 +90,17 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         known, held = self.known, self.held
-        if len(held) > CACHE:
-            held.clear()
-            held["\n"] = b""
+        if len(held) > PRETOKENS:
+            self.older_held, self.held = held, {"\n": b""}
+            held = self.held
         plain = list(filter(_plain.fullmatch, chunks))
         if len(plain) < len(chunks):
             others = list(chunks.difference(plain))
             known.update(zip(others, self._direct(others)))
         found = _pretoken.findall("\n".join(plain).lower())
-        new = list(set(found).difference(held))
+        new = set(found).difference(held)
+        held.update(again := {x: self.older_held[x] for x in new if x in self.older_held})
+        new = list(new.difference(again))
         held.update(zip(new, self._pretokens(new)))
         at = 0
         found.append("\n")
@@ -112,13 +120,13 @@ class Encoder:
         split = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, ODD), "", texts) if odd else texts)
         chunks = split.flatten().dictionary_encode()
         distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.known[""] = b""
+        if len(self.known) > CHUNKS:
+            self.older_known, self.known = self.known, {"": b""}
         found = list(map(self.known.get, distinct))
         missing = {x for x, ids in zip(distinct, found) if ids is None}
         if missing:
-            self._learn(missing)
+            self.known.update(again := {x: self.older_known[x] for x in missing if x in self.older_known})
+            self._learn(missing.difference(again))
             found = list(map(self.known.__getitem__, distinct))
         pool = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(end_id)]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
