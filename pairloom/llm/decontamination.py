@@ -42,6 +42,7 @@ MOST_PLACES = 4_000_000  # of pairs of items in texts that are searched together
 PROBE = 64
 CLASSES = 64  # word classes of the random function
 LENGTHS = (8, 12, 16, 24, 32, 48, PROBE)  # lengths whose repetitions are simulated; others take the next
+VERIFIED = 4_000  # alignments kept, for passages that many texts share
 STEP_CELLS = 1 << 17  # windows times repetitions that are embedded together
 _word = re.compile(r"\w+")
 _indexes: dict[str, "Index"] = {}
@@ -265,7 +266,7 @@ class Index:
         for a, b in regions:
             key = (item, tuple(ws[a:b]))
             if key not in self.verified:
-                if len(self.verified) > 20_000:
+                if len(self.verified) > VERIFIED:
                     self.verified.clear()
                 self.verified[key] = best_alignment(own, ws[a:b])
             dist, at = self.verified[key]
