@@ -55,6 +55,10 @@ def lay_out(parts: list[tuple[int, int, int]], shards: int) -> dict[tuple[int, i
     for r, s, n in big:
         i = max(range(shards), key=lambda i: (room[i], -i))
         at[r, s], room[i] = i, room[i] - n
+    filled, rest = [total / shards - x for x in room], sum(p[2] for p in parts if (p[0], p[1]) not in at)
+    low = sorted(filled)
+    level = next(x for k in range(shards, 0, -1) if (x := (rest + sum(low[:k])) / k) >= low[k - 1])  # what a shard holds that no large range has overfilled
+    room = [max(0.0, level - x) for x in filled]
     i = 0
     for r, s, n in sorted(p for p in parts if (p[0], p[1]) not in at):
         while i < shards - 1 and room[i] < n / 2:
