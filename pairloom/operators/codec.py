@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ SCHEMA = "pairloom_encoded_tokens_v1"
 _piece = re.compile(rb"\n|\r(?=\n|\Z)|(?:(?!\r(?:\n|\Z))[\t\x0b\x0c\r ])*[^\t\n\x0b\x0c\r ]+|(?:(?!\r(?:\n|\Z))[\t\x0b\x0c\r ])+")
 _coders: dict[str, "Coder"] = {}
 KEEP_CODERS = 4
+PART_BYTES = 1 << 20
+SLICE = 1 << 16  # ids of a long document that ``decode_join`` looks up at once
 
 
 @dataclass(frozen=True)
@@ -97,15 +101,32 @@ def _coder(name: str, sent) -> Coder:
     return _coders[name]
 
 
-def encoder(spark, tokenizer: Tokenizer):
-    """Column function: binary -> array<int>. The tokenizer has at most 131,072 tokens."""
+def encoder(spark, tokenizer: Tokenizer, part_bytes: int | None = None):
+    """Column function: binary -> array<int>. The tokenizer has at most 131,072 tokens.
+
+    With ``part_bytes`` the ids leave the worker whenever so many bytes are encoded, not by Arrow batch of documents: that
+    bounds what the worker and the JVM hold, and stands in a plan step of its own (no decoder is chained to it).
+    """
     name, sent = tokenizer.digest, spark.sparkContext.broadcast(tokenizer)
 
     def run(data: pd.Series) -> pd.Series:
         coder = _coder(name, sent)
         return pd.Series([None if d is None else coder.encode(d) for d in data])
 
-    udf = F.pandas_udf(run, "array<int>")
+    def run_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = _coder(name, sent)
+        for data in batches:
+            out, size = [], 0
+            for d in data:
+                out.append(None if d is None else np.array(coder.encode(d), np.int32))
+                size += len(d or b"")
+                if size >= part_bytes:
+                    yield pd.Series(out)
+                    out, size = [], 0
+            if out:
+                yield pd.Series(out)
+
+    udf = F.pandas_udf(run if part_bytes is None else run_parts, "array<int>")
     return lambda text: udf(text.cast("binary"))
 
 
@@ -159,12 +180,18 @@ def encode_distinct(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str =
 
 
 def decode_join(encoded: DataFrame, tokenizer: Tokenizer, key: str, ids: str = "token_ids") -> DataFrame:
-    """Decoding by a join with the vocabulary: key, decoded binary. Unknown ids raise."""
-    vocab = F.broadcast(tokenizer.vocab_table(encoded.sparkSession).select("id", "bytes"))
-    rows = encoded.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(vocab, "id", "left")
-    rows = rows.withColumn("hex", F.when(F.col("pos").isNull(), "").otherwise(F.coalesce(F.hex("bytes"), F.raise_error(F.lit("InvalidTokenId")).cast("string"))))
-    joined = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("r"))
-    return joined.select(key, F.unhex(F.array_join(F.transform("r", lambda r: r.hex), "")).alias("decoded"))
+    """Decoding by a join with the vocabulary: key, decoded binary. Unknown ids raise.
+
+    The vocabulary is folded into one row, its bytes in hex by id, and that row is broadcast and joined to every document:
+    no id becomes a row, nothing is shuffled or grouped. Of a document over ``SLICE`` ids so many are looked up at once.
+    """
+    vocab = tokenizer.vocab_table(encoded.sparkSession).agg(F.array_sort(F.collect_list(F.struct("id", F.hex("bytes").alias("hex")))).alias("v"))  # ids from 0, without gaps
+    rows = encoded.select(F.col(key), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids")).crossJoin(F.broadcast(vocab.select(F.col("v.hex").alias("_hex"))))
+    last = F.size("_ids") - 1
+    found = lambda i: F.coalesce(F.get("_hex", i), F.raise_error(F.lit("InvalidTokenId")).cast("string"))
+    part = lambda lo: F.array_join(F.transform(F.sequence(lo, F.least(lo + (SLICE - 1), last)), lambda at: found(F.get("_ids", at))), "")
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), last, F.lit(SLICE)), part), "")
+    return rows.select(key, F.unhex(F.when(last < SLICE, F.array_join(F.transform("_ids", found), "")).otherwise(parts)).alias("decoded"))
 
 
 def evidence(decoded: Column) -> tuple[Column, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import register
 from ..functions.tokens import BASE, SPECIAL, pair_key_column
 from ..operators import packing
-from ..operators.codec import bound_documents, decode_join, decoder, encode_distinct, encode_native, encoder, evidence, unbound_documents
+from ..operators.codec import PART_BYTES, bound_documents, decode_join, decoder, encode_distinct, encode_native, encoder, evidence, unbound_documents
 from ..operators.presegment import accepted, lines, lossless, pieces, segments, special_spans, statistics
 from ..operators.stats import family_weight, opportunity, pair_counts, symbol_words, top_pairs, word_counts
 from ..operators.tokenizer import Tokenizer, merge_faults
@@ -310,7 +310,7 @@ def decode_by_join(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def decode_documents_by_join(spark, sf_dir):
     tokenizer = _tokenizer(spark, sf_dir)
-    encoded = docs(spark, sf_dir, "doc_id", "text").filter("text is not null").select("doc_id", encoder(spark, tokenizer)(F.col("text")).alias("token_ids"))
+    encoded = docs(spark, sf_dir, "doc_id", "text").filter("text is not null").select("doc_id", encoder(spark, tokenizer, PART_BYTES)(F.col("text")).alias("token_ids"))
     return decode_join(encoded, tokenizer, "doc_id").select("doc_id", F.decode("decoded", "UTF-8").alias("text"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.errors import ArtifactError, CodecError, ManifestError, RunError, TokenError
 from pairloom.functions import tokens as T
-from pairloom.operators import packing, presegment
+from pairloom.operators import codec, packing, presegment
 from pairloom.operators import train as train_module
 from pairloom.operators.codec import Coder, EncodedDocument, Limits, decode_join, decoder, encode_distinct, encode_native, encoder
 from pairloom.operators.stats import symbol_words, word_counts
@@ -508,6 +508,31 @@ def test_documents_are_packed_and_decoded_by_join(spark, tmp_path):
     assert back == {i: t for i, t in enumerate(texts) if t is not None}
 
 
+def test_decoding_by_join_makes_no_row_of_an_id(spark, monkeypatch):
+    t = Tokenizer.from_merges([(117, 118), (52, 117)])
+    ids = [[], None, [20, 117, 276, 277, 19], [*range(278)] * 3, [30], [30] * 8, [31] * 9]
+    encoded = spark.createDataFrame(list(enumerate(ids)), "k int, token_ids array<int>")
+    for cut in (8, codec.SLICE):
+        monkeypatch.setattr(codec, "SLICE", cut)
+        back = decode_join(encoded, t, "k")
+        assert {r.k: bytes(r.decoded) for r in back.collect()} == {i: Coder(t).decode(x or []) for i, x in enumerate(ids)}
+        plan = back._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" in plan and plan.count("Aggregate") == 1  # of the vocabulary
+        for wrong in ([30] * 20 + [278], [-1], [30, None]):
+            with pytest.raises(Exception, match="InvalidTokenId"):
+                decode_join(spark.createDataFrame([(0, wrong)], "k int, token_ids array<int>"), t, "k").collect()
+
+
+def test_ids_leave_the_worker_in_parts(spark):
+    t = Tokenizer.from_merges([(117, 118), (52, 117)])
+    texts = [b"ab ab" * i for i in range(30)] + [b"", b"\xff" * 500]
+    d = docs(spark, *texts).unionByName(spark.createDataFrame([(32, None)], "doc_id int, text binary")).coalesce(1)
+    for size in (1, 60, 1 << 20):
+        rows = d.select("doc_id", encoder(spark, t, size)(F.col("text")).alias("a")).collect()
+        assert {r.doc_id: r.a and list(r.a) for r in rows} == {i: Coder(t).encode(x) for i, x in enumerate(texts)} | {32: None}
+    assert d.limit(0).select(encoder(spark, t, 1)(F.col("text"))).collect() == []
+
+
 def test_packed_corpus_file(spark, tmp_path):
     t = Tokenizer.from_merges([(117, 118)])
     e = spark.createDataFrame([(i, [20 + i % 200] * (i % 40)) for i in range(90)], "k long, token_ids array<int>")
