@@ -2,13 +2,15 @@
 
 ``rounds``: a round applies the longest run of best pairs that share no symbol (a pair of equal symbols only as its last), which
 gives the merges of one-at-a-time training, and adds to the pair counts what changes in the segments that hold one of the pairs.
-The counts are with the driver while they are few, else a written table. ``collect``: Spark counts the segments, the driver merges over arrays of their symbols
-with incremental pair counts. ``auto`` collects while the arrays fit in ``driver_bytes`` and works in rounds beyond.
+The counts are with the driver while they are few, else a written table. ``collect``: Spark counts the segments, the driver merges over arrays of their symbols,
+which are in files of its own, with incremental pair counts. ``auto`` collects while the arrays fit in ``driver_bytes`` and works in rounds beyond.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,8 @@ from .tokenizer import Tokenizer
 from .written import remove, written
 
 HELD_PAIRS = 1 << 21  # pair counts that the driver holds in rounds
-SYMBOL_BYTES = 64  # the driver's arrays, for each symbol of a distinct segment
+SYMBOL_BYTES = 64  # counted against ``driver_bytes`` for each symbol of a distinct segment
+CHUNK = 1 << 20  # places that the driver counts at once
 
 
 @dataclass(frozen=True)
@@ -143,33 +146,71 @@ def train_rounds(words: DataFrame, target: int, threshold: int, look: int = 64,
     return merges
 
 
-def train_arrays(symbols: np.ndarray, lengths: np.ndarray, freq: np.ndarray, target: int, threshold: int) -> list[Merge]:
-    """The same merges on the driver, from the token ids of all words in a row, the words' lengths and weights.
+def _mapped(n: int, dtype) -> np.ndarray:
+    """Zeros in a file of the driver's own, which goes with the array."""
+    with tempfile.TemporaryFile(prefix="pairloom-") as f:
+        return np.asarray(np.memmap(f, dtype, "w+", shape=(n,)))
+
+
+class _Noted:
+    """Places put away in a file, by where they stand there."""
+
+    def __init__(self, dtype):
+        self.file, self.dtype, self.size, self.n = tempfile.TemporaryFile(prefix="pairloom-", buffering=0), dtype, np.dtype(dtype).itemsize, 0
+
+    def put(self, at: np.ndarray) -> int:
+        data, done = memoryview(np.ascontiguousarray(at, self.dtype)).cast("B") if len(at) else b"", 0
+        while done < len(data):
+            done += os.pwrite(self.file.fileno(), data[done:], self.n * self.size + done)
+        self.n += len(at)
+        return self.n - len(at)
+
+    def get(self, parts: list[tuple[int, int]]) -> np.ndarray:
+        return np.concatenate([np.frombuffer(os.pread(self.file.fileno(), n * self.size, lo * self.size), self.dtype) for lo, n in parts])
+
+
+def train_blocks(blocks, n_symbols: int, n_words: int, target: int, threshold: int) -> list[Merge]:
+    """The same merges on the driver, from blocks (token ids of words in a row, the words' lengths, their weights).
 
-    Places are linked within a word; ``where`` holds, for each pair, the places at which it began when they were found, and
-    places that have changed since are left out when the pair is taken.
+    ``seq`` has a 0 before and behind each word. A token holds its id at the first and the last of the places of its bytes, and
+    the second part of a merge loses its first place, so neighbours are found by the tokens' lengths (``span``). ``where`` has,
+    for each pair, the places at which it began when they were found; of them, those that have changed since are left out when
+    the pair is taken. What grows with the words' symbols is in files, and ``CHUNK`` places are counted at once.
     """
-    seq, ends = symbols.astype(np.uint64), np.cumsum(lengths)
-    place = np.int32 if len(seq) < 1 << 31 else np.int64
-    after, before = np.arange(1, len(seq) + 1, dtype=place), np.arange(-1, len(seq) - 1, dtype=place)
-    full = ends[lengths > 0]
-    after[full - 1], before[np.r_[0, full[:-1]][: len(full)]] = -1, -1
-    weight = np.repeat(freq.astype(np.int64), lengths)
+    total = n_symbols + n_words + 1
+    place = np.int32 if total < 1 << 31 else np.int64
+    seq, word, freq = _mapped(total, np.uint32), _mapped(total, np.int32), np.zeros(n_words, np.int64)
+    end, known = 1, 0
+    for symbols, lengths, weights in blocks:
+        own = np.repeat(np.arange(len(lengths)), lengths)
+        at = end + np.arange(len(symbols)) + own
+        seq[at], word[at], freq[known : known + len(lengths)] = symbols, known + own, weights
+        end, known = end + len(symbols) + len(lengths), known + len(lengths)
+    if (end, known) != (total, n_words):
+        raise TokenError("WordsChanged", f"{known} words of {n_words}")
+    span = np.ones(MAX_VOCAB + 1, place)
+    noted = _Noted(place)
     counts: dict[int, int] = {}
-    where: dict[int, list[np.ndarray]] = {}
+    where: dict[int, list[tuple[int, int]]] = {}
     heap: list[tuple[int, int]] = []
 
-    def tally(at: np.ndarray, sign: int, change: dict[int, int]) -> None:
+    def tally(places: np.ndarray, sign: int, change: dict[int, int]) -> None:
         """Weights of the pairs that begin at distinct places; new places of a pair are noted where they are added."""
-        key = (seq[at] << np.uint64(32)) | seq[after[at]]
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        sums = np.add.reduceat(weight[at], first) if len(first) else np.zeros(0, np.int64)
-        for k, n, lo, hi in zip(key[first].tolist(), sums.tolist(), first.tolist(), [*first[1:].tolist(), len(key)]):
-            change[k] = change.get(k, 0) + sign * n
-            if sign > 0:
-                where.setdefault(k, []).append(at[lo:hi].astype(place))
+        for start in range(0, len(places), CHUNK):
+            at = places[start : start + CHUNK]
+            own = seq[at]
+            then = seq[at + span[own]]
+            key = (own.astype(np.uint64) << np.uint64(32)) | then
+            at, key = at[then != 0], key[then != 0]
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            sums = np.add.reduceat(freq[word[at]], first) if len(first) else np.zeros(0, np.int64)
+            base = noted.put(at) if sign > 0 else 0
+            for k, n, lo, hi in zip(key[first].tolist(), sums.tolist(), first.tolist(), [*first[1:].tolist(), len(key)]):
+                change[k] = change.get(k, 0) + sign * n
+                if sign > 0:
+                    where.setdefault(k, []).append((base + lo, hi - lo))
 
     def settle(change: dict[int, int]) -> None:
         for k, d in change.items():
@@ -183,7 +224,8 @@ def train_arrays(symbols: np.ndarray, lengths: np.ndarray, freq: np.ndarray, tar
                     where.pop(k, None)
 
     change: dict[int, int] = {}
-    tally(np.flatnonzero(after >= 0), 1, change)
+    for lo in range(0, total, CHUNK):
+        tally((lo + np.flatnonzero(seq[lo : lo + CHUNK])).astype(place), 1, change)
     settle(change)
     merges: list[Merge] = []
     while heap and BASE + len(merges) < target:
@@ -195,31 +237,33 @@ def train_arrays(symbols: np.ndarray, lengths: np.ndarray, freq: np.ndarray, tar
         a, b = key >> 32, key & 0xFFFFFFFF
         new = BASE + len(merges)
         merges.append(Merge(a, b, new, -n))
-        noted = where.pop(key)
-        at = np.unique(np.concatenate(noted)) if len(noted) > 1 else noted[0]
-        at = at[(seq[at] == a) & (after[at] >= 0)]
-        at = at[seq[after[at]] == b]
+        if BASE + len(merges) >= target:
+            break
+        at = np.unique(noted.get(where.pop(key)))
+        at = at[seq[at] == a]
+        at = at[seq[at + span[a]] == b]
         if a == b:  # of a run, from its left, every second pair
-            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            run = np.flatnonzero(np.r_[True, at[:-1] + span[a] != at[1:]])
             at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
-        gone = after[at]
-        near = np.concatenate([before[at], at, gone])
-        near = np.unique(near[near >= 0])
+        gone, inner = at + span[a], at[seq[at - 1] != 0]
         change = {}
-        tally(near[after[near] >= 0], -1, change)
-        then = after[gone]
-        seq[at], after[at] = new, then
-        seq[gone], after[gone] = MAX_VOCAB, -1
-        before[then[then >= 0]] = at[then >= 0]
-        near = np.concatenate([before[at], at])
-        near = np.unique(near[near >= 0])
-        tally(near[after[near] >= 0], 1, change)
+        tally(np.unique(np.concatenate([inner - span[seq[inner - 1]], at, gone])), -1, change)
+        span[new] = span[a] + span[b]
+        seq[gone] = MAX_VOCAB
+        seq[at] = new
+        seq[at + (span[new] - 1)] = new
+        tally(np.unique(np.concatenate([inner - span[seq[inner - 1]], at])), 1, change)
         counts.pop(key, None)
         change.pop(key, None)
         settle(change)
     return merges
 
 
+def train_arrays(symbols: np.ndarray, lengths: np.ndarray, freq: np.ndarray, target: int, threshold: int) -> list[Merge]:
+    """The same from the token ids of all words in a row, the words' lengths and weights."""
+    return train_blocks([(symbols, lengths, freq)], len(symbols), len(lengths), target, threshold)
+
+
 def train_words(words: list[tuple[str, int]], target: int, threshold: int) -> list[Merge]:
     """The same from (symbols, weight)."""
     text = "".join(sym for sym, _ in words)
@@ -232,15 +276,23 @@ def _ids(text: str) -> np.ndarray:
     return np.where(points < 0xD800, points - 0x100, points - 0x900)
 
 
+def _packed(batches):
+    """Arrow batches of (sym, freq) as one row each: ids, lengths, weights."""
+    import pyarrow as pa
+
+    for batch in batches:
+        words = batch.column("sym").to_pylist()
+        arrays = _ids("".join(words)).astype("<u4"), np.array([len(w) for w in words], "<i4"), batch.column("freq").to_numpy(zero_copy_only=False).astype("<i8")
+        yield pa.RecordBatch.from_pylist([{name: x.tobytes() for name, x in zip(("ids", "lengths", "freq"), arrays)}], pa.schema([(name, pa.binary()) for name in ("ids", "lengths", "freq")]))
+
+
 def train_collected(words: DataFrame, target: int, threshold: int) -> list[Merge]:
-    """The same from a written table (sym, freq), which comes to the driver as Arrow batches."""
-    import pyarrow.compute as pc
-
-    table = words.filter(F.length("sym") > 1).select("sym", "freq").toArrow()
-    lengths = pc.utf8_length(table["sym"]).to_numpy().astype(np.int64)
-    ids = [_ids("".join(part.to_pylist())) for part in table["sym"].chunks]
-    symbols = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    return train_arrays(symbols, lengths, table["freq"].to_numpy().astype(np.int64), target, threshold)
+    """The same from a written table (sym, freq), which comes to the driver packed and by partition."""
+    kept = words.filter(F.length("sym") > 1).select("sym", "freq")
+    seen = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("sym")), F.lit(0)).alias("symbols")).first()
+    rows = kept.mapInArrow(_packed, "ids binary, lengths binary, freq binary").toLocalIterator()
+    blocks = ((np.frombuffer(r.ids, "<u4"), np.frombuffer(r.lengths, "<i4"), np.frombuffer(r.freq, "<i8")) for r in rows)
+    return train_blocks(blocks, seen.symbols, seen.n, target, threshold)
 
 
 def train(docs: DataFrame, config: TrainConfig = TrainConfig(), text: str = "text", weight: Column | int = SCALE) -> tuple[Tokenizer, list[Merge]]:

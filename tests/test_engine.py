@@ -5,7 +5,9 @@ import json
 import os
 import random
 import struct
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,27 @@ def test_trainers_agree(spark, monkeypatch):
     assert [(m.a, m.b) for m in train_rounds(spark.createDataFrame(fixed, "sym string, freq long"), 279, 1000)] == [(x, y) for x, y, _ in naive(fixed, 279, 1000)]
 
 
+def test_collected_training_holds_little(spark, monkeypatch):
+    """Of words that take many chunks the driver holds less than their symbols' ids."""
+    rng = np.random.default_rng(7)
+    lengths, freq = rng.integers(2, 12, 150_000), rng.integers(1, 9, 150_000) * 1000
+    ids = (117 + rng.integers(0, 6, lengths.sum())).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    words = ["".join(map(T.symbol, ids[e - n : e].tolist())) for e, n in zip(ends, lengths)]
+    expected = [(m.a, m.b, m.count) for m in train_rounds(spark.createDataFrame(list(zip(words, freq.tolist())), "sym string, freq long"), 286, 2000)]
+    table = spark.createDataFrame(list(zip([*words, T.symbol(117)], [*freq.tolist(), 5000])), "sym string, freq long")
+    monkeypatch.setattr(train_module, "CHUNK", 1 << 12, raising=False)
+    tracemalloc.start()
+    try:
+        got = train_module.train_collected(table, 286, 2000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(m.a, m.b, m.count) for m in got] == expected and len(expected) == 10
+    assert peak < 16 * len(ids)
+    assert train_module.train_collected(table.limit(0), 286, 2000) == []
+
+
 def test_train_edges(spark):
     assert train(docs(spark, b"aa"), TrainConfig(276))[1] == []
     with pytest.raises(TokenError):
