@@ -2,7 +2,8 @@
 
 ``compress`` repeats rounds until no pair comes ``min_count`` times: count adjacent pairs exactly, give those at least an
 eighth as frequent as the most frequent one nonterminals, replace them, of overlapping ones the more frequent. Counts of a
-pair only fall unless a neighbour is replaced, so a round looks only at places whose pair may still be frequent. A pair never
+pair only fall unless a neighbour is replaced, so a round looks only at places whose pair may still be frequent. While these are
+half of all, symbols stand side by side and each round closes the gaps; afterwards they are linked. A pair never
 spans the end of a document, so each document owns a run of symbols and can be decoded alone. ``rules`` holds the two symbols
 of each nonterminal (smaller symbols only) and ``expansion`` the number of ids each one stands for, which lets ``Block.ids``
 skip to a position without decoding what stands before it. A rule takes about 8 bytes and each use of it saves about 2.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"RPB2"
 HEAD = struct.Struct("<4sIIIIIQ")
@@ -27,57 +29,69 @@ SIEVE_BITS = 20
 
 
 def _every_second(at: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which of the ascending places are second, fourth and so on in a row of neighbours."""
-    run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+    """Which of the ascending places, ``after`` their next ones, are second, fourth and so on in a row of neighbours."""
+    run = np.flatnonzero(np.r_[True, after[:-1] != at[1:]])
     return (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 1
 
 
 def _apart(at: np.ndarray, after: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Which of the ascending places to replace: no two neighbours, the lower level first, and none that could still be."""
-    kept = np.zeros(len(at), bool)
-    near = after[at[:-1]] == at[1:]
-    alone = np.ones(len(at), bool)
-    alone[1:] &= ~near
-    alone[:-1] &= ~near
-    kept[alone] = True
-    left = np.flatnonzero(~alone)
-    while len(left):
-        near, below = after[at[left[:-1]]] == at[left[1:]], np.diff(level[left]) > 0
-        win = np.ones(len(left), bool)
+    """Which of the ascending places, ``after`` their next ones, to replace: no two neighbours, the lower level first, and none that could still be."""
+    kept = left = None
+    while left is None or len(left):
+        near, below = after[:-1] == at[1:], level[:-1] < level[1:]
+        win = np.ones(len(at), bool)
         win[1:] &= ~(near & below)
         win[:-1] &= ~near | below
-        kept[left[win]] = True
         done = win.copy()
         done[1:] |= near & win[:-1]
         done[:-1] |= near & win[1:]
-        left = left[~done]
+        rest = np.flatnonzero(~done)
+        if left is None:
+            kept, left = win, rest
+        else:
+            kept[left[win]] = True
+            left = left[rest]
+        at, after, level = at[rest], after[rest], level[rest]
     return kept
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | None = None, min_count: int = MIN_COUNT):
     """ids: uint32; ends: index past each document's last id. Returns symbols, past-the-end symbol of each document, rules."""
-    seq, stops = ids.astype(np.uint32), np.asarray(ends, np.int64)
-    place = np.int32 if len(seq) < 1 << 31 else np.int64
-    after, before = np.arange(1, len(seq) + 1, dtype=place), np.arange(-1, len(seq) - 1, dtype=place)  # -1: none in the document
-    full = stops[np.diff(np.r_[0, stops]) > 0]
-    after[full - 1], before[np.r_[0, full[:-1]][: len(full)]] = -1, -1
-    there, live = np.ones(len(seq), bool), after >= 0  # live: the pair that begins here may be frequent
+    seq, filled = ids.astype(np.uint32), np.diff(np.r_[0, np.asarray(ends, np.int64)]) > 0
+    last = np.zeros(len(seq), bool)  # symbols that end a document
+    last[np.asarray(ends, np.int64)[filled] - 1] = True
+    live, linked = ~last, False  # live: the pair that begins here may be frequent
     rules: list[np.ndarray] = []
     at_slot = np.zeros(1 << SIEVE_BITS, np.int32)
     known = done = 0
     while rounds is None or done < rounds:
         done += 1
-        at = np.flatnonzero(live)
-        if not len(at):
+        frequent = np.count_nonzero(live)
+        if not frequent:
             break
+        if not linked and 2 * frequent < len(seq):
+            linked, place = True, np.int32 if len(seq) < 1 << 31 else np.int64
+            after, before = np.arange(1, len(seq) + 1, dtype=place), np.arange(-1, len(seq) - 1, dtype=place)  # -1: none in the document
+            before[np.r_[0, np.flatnonzero(last)[:-1] + 1]], after[last] = -1, -1
+            there = np.ones(len(seq), bool)
         word, bits, mix = (np.uint32, 16, 0x9E3779B1) if terminals + known <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
         slot = lambda key: (key * word(mix)) >> word(2 * bits - SIEVE_BITS)
-        left, right = seq[at], seq[after[at]]
-        key = (left.astype(word) << word(bits)) | right
-        second = np.zeros(len(at), bool)  # in a run of one symbol every second pair overlaps the one before
-        equal = np.flatnonzero(left == right)
-        second[equal[_every_second(at[equal], after)]] = True
-        ordered = np.sort(key[~second] if len(equal) else key)
+        if linked:
+            at = np.flatnonzero(live)
+            then = after[at]
+            left, right = seq[at], seq[then]
+        else:
+            left, right, counted = seq[:-1], seq[1:], live[:-1]
+        key = np.left_shift(left, word(bits), dtype=word)
+        key |= right
+        second = np.zeros(len(key), bool)  # in a run of one symbol every second pair overlaps the one before
+        equal = np.flatnonzero(left == right if linked else (left == right) & counted)
+        if len(equal):
+            second[equal[_every_second(at[equal], then[equal]) if linked else _every_second(equal, equal + 1)]] = True
+        if linked:
+            ordered = np.sort(key[~second] if len(equal) else key)
+        else:
+            ordered = np.sort(key[counted & ~second if len(equal) else counted])
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[first, len(ordered)])
         top = int(count.max())
@@ -90,7 +104,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
         pair = ordered[first]
         sieve[slot(pair)] = 2
         found = sieve[slot(key)]
-        live[at[found == 0]] = False  # rarer, until a neighbour changes
+        if linked:
+            live[at[found == 0]] = False  # rarer, until a neighbour changes
+        else:
+            found *= counted
+            np.not_equal(found, 0, out=counted)
         own = np.flatnonzero(found == 2)
         own_key = key[own]
         at_slot[slot(pair)] = np.arange(len(pair), dtype=np.int32)
@@ -99,34 +117,60 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int | No
         other = np.flatnonzero(~hit)  # of pairs that share a slot the last one is found so, the others by search
         which[other] = np.minimum(np.searchsorted(pair, own_key[other]), len(pair) - 1)
         hit[other] = pair[which[other]] == own_key[other]
-        at, which, second = at[own[hit]], which[hit], second[own[hit]]
-        rank = np.zeros(len(pair), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(pair))
+        own, which = own[hit], which[hit]
+        second = second[own]
+        at, then = (at[own], then[own]) if linked else (own, own + 1)
+        rank = np.zeros(len(pair), np.int32)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(pair), dtype=np.int32)
         level = 2 * rank[which] + second
+        kept, near = np.ones(len(at), bool), then[:-1] == at[1:]
+        kept[1:] &= ~near
+        kept[:-1] &= ~near
+        alone = np.bincount(which[kept], minlength=len(pair))
+        part = np.flatnonzero(~kept)  # places that have a neighbour
+        near = [part, which[part], at[part], then[part], level[part]]
         while True:  # without the pairs that others leave too rare; the most frequent one always stays
-            kept = _apart(at, after, level)
-            uses = np.bincount(which[kept], minlength=len(pair))
-            stays = (uses >= min_count)[which]
-            if stays.all():
+            won = _apart(*near[2:])
+            uses = alone + np.bincount(near[1][won], minlength=len(pair))
+            rare = uses < min_count
+            stays = ~rare[near[1]]
+            if stays.all() and not alone[rare].any():
                 break
-            at, which, level = at[stays], which[stays], level[stays]
+            alone[rare] = 0
+            near = [x[stays] for x in near]
+        kept &= uses[which] > 0
+        kept[near[0][won]] = True
         chosen = np.flatnonzero(uses)
         symbol = np.zeros(len(pair), np.uint32)
         symbol[chosen] = terminals + known + np.arange(len(chosen), dtype=np.uint32)
-        at, which = at[kept], which[kept]
-        gone = after[at]
-        then = after[gone]
-        seq[at], after[at] = symbol[which], then
-        there[gone] = live[gone] = False
-        live[at] = then >= 0
-        before[then[then >= 0]] = at[then >= 0]
-        behind = before[at]
-        live[behind[behind >= 0]] = True
+        at, gone = at[kept], then[kept]
+        seq[at] = symbol[which[kept]]
+        if linked:
+            then = after[gone]
+            after[at] = then
+            there[gone] = live[gone] = False
+            live[at] = then >= 0
+            before[then[then >= 0]] = at[then >= 0]
+            behind = before[at]
+            live[behind[behind >= 0]] = True
+        else:
+            last[at] = last[gone]
+            live[at] = ~last[at]
+            behind = at[1:] - 1 if at[0] == 0 else at - 1
+            live[behind[~last[behind]]] = True
+            state = live.view(np.uint8) | last.view(np.uint8) << 1
+            state[gone] = 4
+            seq = seq[np.flatnonzero(state < 4)]
+            state = np.frombuffer(state.tobytes().translate(None, b"\4"), np.uint8)
+            live, last = (state & 1).view(bool), (state >> 1).view(bool)
         made = pair[chosen]
         rules.append(np.stack([made >> word(bits), made & word((1 << bits) - 1)], 1).astype(np.uint32))
         known += len(chosen)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return seq[there], np.r_[0, np.cumsum(there)][stops], made
+    stops = np.r_[0, np.flatnonzero(last) + 1]
+    if linked:
+        seq, stops = seq[there], np.r_[0, np.cumsum(np.add.reduceat(there, stops[:-1], dtype=np.int64))]
+    return seq, stops[np.cumsum(filled)], made
 
 
 def expansions(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -182,28 +226,24 @@ class Block:
         self.symbols = wide(n_symbols)
         if at != len(data):
             raise ValueError("a Re-Pair block of another length than its header says")
-        size = self.expansion.astype(np.int64)
+        size = np.r_[np.ones(self.terminals, np.int64), self.expansion]
         self._start = np.r_[0, np.cumsum(size)]
-        self._flat = np.zeros(int(self._start[-1]), np.uint32)  # each rule's ids, one after the other
+        self._flat = np.empty(int(self._start[-1]), np.uint32)  # ids of each terminal and rule, one after the other
+        self._flat[: self.terminals] = np.arange(self.terminals, dtype=np.uint32)
         done = 0
         while done < n_rules:
-            ok = (self.rules[done:] < self.terminals + done).all(1)
+            top = self.terminals + done
+            ok = (self.rules[done:] < top).all(1)
             step = int(np.argmin(ok)) if not ok.all() else len(ok)
-            part = self._expand(self.rules[done : done + step].reshape(-1), done)
-            self._flat[self._start[done] : self._start[done] + len(part)] = part
+            part = self._expand(self.rules[done : done + step].reshape(-1), top)
+            self._flat[self._start[top] : self._start[top] + len(part)] = part
             done += step
 
     def _expand(self, symbols: np.ndarray, known: int | None = None) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        size = np.r_[np.ones(self.terminals, np.int64), self.expansion][symbols]
-        out = np.repeat(symbols, size)
-        composed = symbols >= self.terminals
-        if composed.any():
-            rule, n = symbols[composed] - self.terminals, size[composed]
-            to = np.cumsum(size)[composed] - n
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(to, n) + inner] = self._flat[np.repeat(self._start[rule], n) + inner]
-        return out.astype(np.uint32)
+        """Ids of the symbols in a row, which are all among the first ``known``."""
+        known = self.terminals + len(self.rules) if known is None else known
+        strings = pa.Array.from_buffers(pa.large_binary(), known, [None, pa.py_buffer(4 * self._start[: known + 1]), pa.py_buffer(self._flat)])
+        return np.frombuffer(strings.take(pa.array(symbols)).buffers()[2] or b"", np.uint32)
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)

@@ -4,10 +4,11 @@ Texts are range-partitioned and sorted by id; a task encodes its texts, cuts the
 (a document is never cut) and writes each block to the shared folder under its final name at once, so a repeated task
 leaves the same files. Offsets of documents come from the blocks' totals, never from one task over all rows.
 
-Encoding: every pre-token of the vocabulary is free of white space, so a text's ids are its white-space chunks' ids in a
-row, and each worker keeps the ids of chunks and of pre-tokens it has met. Chunks of characters that need no normal form
-are cut into pre-tokens here, and those not met yet are encoded together; other chunks go to the tokenizer. Texts with the separators U+001C to U+001F, which Python and
-the tokenizer class differently, go to the tokenizer whole.
+Encoding: every pre-token of the vocabulary is free of white space. Texts are cut at white space, and into pre-tokens where
+all characters up to the next white space need no normal form, by the classes of their bytes, many texts at once; other
+chunks stay whole. Distinct pieces are told apart by Arrow, and each worker keeps the ids of those it has met; pre-tokens
+not met yet are encoded together, chunks go to the tokenizer. The separators U+001C to U+001F, which Python and the
+tokenizer class differently, make a chunk go to the tokenizer.
 
 Edge cases: a null text is empty (only the end id); a null id sorts first and stays null; repeated rows stay, in text
 order; an empty table writes no block and gives no row; other columns are ignored.
@@ -30,17 +31,75 @@ from . import repair
 from .common import fresh_path, keep, open_store, table, write_whole
 
 END_ID = 2
-CHUNKS, PRETOKENS = 300_000, 300_000  # whose ids a worker keeps, and as many that it met before
+PIECES = 600_000  # whose ids a worker keeps, and as many that it met before
 SLICE_BYTES = 6 << 20
-ODD = "[\x1c-\x1f]"
 _encoders: dict[str, "Encoder"] = {}
 #: Latin, Cyrillic and common punctuation: normal forms as they are, with the same lower case and classes everywhere.
-RANGE = {*range(0x300), *range(0x400, 0x483), *range(0x48A, 0x500), *range(0x2010, 0x2028)}
+RANGE = {*range(0x1C), *range(0x20, 0x300), *range(0x400, 0x483), *range(0x48A, 0x500), *range(0x2010, 0x2028)}
 PLAIN = sorted(c for c in RANGE if RANGE.issuperset(map(ord, chr(c).lower())))
-_class = lambda kind: "".join(re.escape(chr(c)) for c in PLAIN if category(chr(c))[0] == kind)
 _plain = re.compile(f"(?!.*<\\|)[{''.join(re.escape(chr(c)) for c in PLAIN)}]*", re.S)
-#: The vocabulary's own pre-token pattern over those characters; a line feed divides chunks.
-_pretoken = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\n{_class('L')}{_class('N')}]+")
+WHITE, LETTER, NUMBER, OTHER, ODD, END = range(6)  # classes of characters; END is the line feed behind a text
+_class = np.full(1 << 16, ODD, np.uint8)
+_class[PLAIN] = [WHITE if chr(c).isspace() else {"L": LETTER, "N": NUMBER}.get(category(chr(c))[0], OTHER) for c in PLAIN]
+_lower = np.arange(1 << 11, dtype=np.uint16)  # of those of two bytes, which stay such
+_lower[[c for c in PLAIN if c < 1 << 11]] = [ord(chr(c).lower()) for c in PLAIN if c < 1 << 11]
+_byte_class = _class[:0x80].tobytes() + bytes([ODD]) * 0x80
+_byte_lower = bytes(range(256)).lower()
+#: What the vocabulary's own pattern takes behind an apostrophe at the start of a pre-token.
+SHORT, LONG = np.isin(np.arange(256), list(b"stmd")), [tuple(x) for x in (b"re", b"ve", b"ll")]
+
+
+def _pieces(texts: pa.Array) -> pa.Array:
+    """Lower-case pre-tokens of the texts in a row, chunks with odd characters as they are, a line feed behind each text."""
+    texts.validate(full=True)
+    texts = pc.binary_join_element_wise(texts.cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2])[bounds[0] : bounds[-1]].tobytes()
+    last, data = bounds[1:] - bounds[0] - 1, np.frombuffer(raw, np.uint8)
+    kind, low = np.frombuffer(bytearray(raw.translate(_byte_class)), np.uint8), np.frombuffer(bytearray(raw.translate(_byte_lower)), np.uint8)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first = data[lead]
+        two, three = lead[first < 0xE0], lead[(first >= 0xE0) & (first < 0xF0)]
+        code = (data[two] & np.uint16(0x1F)) << 6 | data[two + 1] & 0x3F
+        kind[two] = kind[two + 1] = _class[code]
+        code = _lower[code]
+        low[two], low[two + 1] = code >> 6 | 0xC0, code & 0x3F | 0x80
+        kind[three] = kind[three + 1] = kind[three + 2] = _class[(data[three] & np.uint16(0xF)) << 12 | (data[three + 1] & np.uint16(0x3F)) << 6 | data[three + 2] & 0x3F]
+    kind[last] = END
+    special = np.flatnonzero(data == ord("<"))
+    odd = np.concatenate([np.flatnonzero(kind == ODD), special[data[special + 1] == ord("|")]])
+    if len(odd):
+        blank = (kind == WHITE) | (kind == END)
+        edge = np.flatnonzero(np.diff(np.r_[True, blank].view(np.int8)))  # starts and ends of chunks in turn
+        starts, stops = edge[::2], edge[1::2]
+        which = np.zeros(len(starts), bool)
+        which[np.searchsorted(starts, odd, "right") - 1] = True
+        starts, size = starts[which], (stops - starts)[which]
+        whole = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        kind[whole], low[whole] = ODD, data[whole]
+    start = np.empty(len(kind), bool)
+    start[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[last] = True
+    number = np.flatnonzero(kind == NUMBER)
+    start[number] = (data[number] & 0xC0) != 0x80
+    mark = np.flatnonzero((data == ord("'")) & start & (kind == OTHER))  # a letter behind it is not the last byte
+    mark = mark[kind[mark + 1] == LETTER]
+    short = SHORT[low[mark + 1]]
+    start[mark[short] + 1] = False
+    ahead = mark[short] + 2
+    start[ahead] = True
+    mark = mark[~short]
+    mark = mark[kind[mark + 2] == LETTER]
+    a, b = low[mark + 1], low[mark + 2]
+    long = np.any([(a == x) & (b == y) for x, y in LONG], axis=0)
+    start[mark[long] + 1] = False
+    start[mark[long] + 3] = True
+    white = (kind == WHITE).view(np.uint8) * np.uint8(0xFF)  # a byte that UTF-8 does not have
+    low = (low | white).tobytes().translate(None, b"\xff")
+    offsets = np.flatnonzero(np.frombuffer((start.view(np.uint8) | white).tobytes().translate(None, b"\xff"), bool))
+    return pa.Array.from_buffers(pa.large_string(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(low))), pa.py_buffer(low)])
 
 
 class Encoder:
@@ -49,8 +108,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {"": b""}, {"\n": b""}  # ids of chunks, of pre-tokens
-        self.older_known, self.older_held = {}, {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}  # ids of pieces
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
@@ -88,64 +146,42 @@ class Encoder:
             out += [data[4 * a : 4 * b] for a, b in zip([0, *stops], stops)]
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, held = self.known, self.held
-        if len(held) > PRETOKENS:
-            self.older_held, self.held = held, {"\n": b""}
-            held = self.held
-        plain = list(filter(_plain.fullmatch, chunks))
-        if len(plain) < len(chunks):
-            others = list(chunks.difference(plain))
-            known.update(zip(others, self._direct(others)))
-        found = _pretoken.findall("\n".join(plain).lower())
-        new = set(found).difference(held)
-        held.update(again := {x: self.older_held[x] for x in new if x in self.older_held})
-        new = list(new.difference(again))
-        held.update(zip(new, self._pretokens(new)))
-        at = 0
-        found.append("\n")
-        for chunk in plain:
-            stop = found.index("\n", at)
-            known[chunk] = held[found[at]] if stop == at + 1 else b"".join([held[x] for x in found[at:stop]])
-            at = stop + 1
+    def _learn(self, pieces: list[str]) -> None:
+        plain = list(filter(_plain.fullmatch, pieces))
+        self.known.update(zip(plain, self._pretokens(plain)))
+        if len(plain) < len(pieces):
+            others = list(set(pieces).difference(plain))
+            self.known.update(zip(others, self._direct(others)))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a row, the end id behind each, and the number of ids of each text.
 
-        Distinct chunks are told apart by Arrow; only they are looked up.
+        Distinct pieces are told apart by Arrow; only they are looked up.
         """
-        texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)).tolist()
-        whole = {i: np.frombuffer(self._direct([texts[i].as_py()])[0], "<u4") for i in odd}
-        split = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, ODD), "", texts) if odd else texts)
-        chunks = split.flatten().dictionary_encode()
-        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > CHUNKS:
-            self.older_known, self.known = self.known, {"": b""}
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        pieces = _pieces(pc.fill_null(texts, "")).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > PIECES:
+            self.older, self.known = self.known, {}
+        self.known["\n"] = np.array([end_id], "<u4").tobytes()
         found = list(map(self.known.get, distinct))
-        missing = {x for x, ids in zip(distinct, found) if ids is None}
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            self.known.update(again := {x: self.older_known[x] for x in missing if x in self.older_known})
-            self._learn(missing.difference(again))
-            found = list(map(self.known.__getitem__, distinct))
-        pool = np.r_[np.frombuffer(b"".join(found), "<u4"), np.uint32(end_id)]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first, size = np.r_[np.cumsum(size) - size, len(pool) - 1], np.r_[size, 1]  # the last one is the end id
-        bounds = split.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        order = np.insert(chunks.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
-        length = size[order]
-        stops = np.cumsum(length)
-        ids = pool[np.repeat(first[order] - (stops - length), length) + np.arange(stops[-1] if len(stops) else 0)]
-        ends = stops[bounds[1:] + np.arange(len(texts))]
-        counts = np.diff(np.r_[0, ends])
-        if whole:
-            parts = np.split(ids, ends[:-1])
-            for i, own in whole.items():
-                parts[i] = np.r_[own, np.uint32(end_id)]
-                counts[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids.astype("<u4"), counts
+            sought = [distinct[i] for i in missing]
+            earlier = list(map(self.older.get, sought))
+            self._learn([x for x, ids in zip(sought, earlier) if ids is None])
+            for i, x, ids in zip(missing, sought, earlier):
+                if ids is None:
+                    ids = self.known[x]
+                else:
+                    self.known[x] = ids
+                found[i] = ids
+        row = pa.array(found, pa.large_binary()).take(pieces.indices)
+        ids = np.frombuffer(row.buffers()[2], "<u4")
+        last = np.flatnonzero(pieces.indices.to_numpy() == distinct.index("\n"))
+        ends = np.frombuffer(row.buffers()[1], np.int64)[last + 1] // 4
+        return ids[: ends[-1]], np.diff(np.r_[0, ends])
 
 
 def _slices(batch: pa.RecordBatch):

@@ -8,6 +8,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -506,6 +507,23 @@ def test_token_output(spark, rows):
     assert token_output.read_blocks(*token_output.write_blocks(docs(spark, rows).limit(0), path)).count() == 0
 
 
+def test_encoder_keeps_each_pretoken_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    encoder, library = token_output.Encoder(path), Tokenizer.from_file(path)
+    words = [f"{a}{b}{c}" for a in ("sta", "Thä", "re") for b in "aeiouöж" for c in ("nd", "ST", "'s", "'Ve")]
+    texts = [f"{w}{x} ({w}){x}\t{w.upper()}{x}{w}12" for w in words for x in (".", ",", "!?", ":")]
+    texts += ["", None, " ", "''s 're's 'l 'lls l'l '\x85s'\xa0t\u2028'd", "a'", "'", "É E\u0301'S x\x1cY <|endoftext|>'s <|ENDOFTEXT|> <| ½²3 İS'M", "\u4e2d'S A\u4e2dB '\u4e2d"]
+    ids, counts = encoder.encode(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    assert len(encoder.known) < 100  # of 350 chunks
+    alone = [x for t in texts for x in encoder.encode(pa.array([t], pa.string()), 7)[0].tolist()]
+    assert alone == [7 if last else i for i, last in zip(ids.tolist(), np.isin(np.arange(len(ids)), np.cumsum(counts) - 1))]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
